@@ -11,7 +11,6 @@ from propspark.functions.text import clean_numeric_zero, contains_any
 from propspark.operators.filters import INDUSTRIAL_KEYWORDS, typed
 from propspark.operators.scoring import COMPONENTS
 
-ONE = F.lit(1)
 TYPE_KEYWORDS = [w for w in INDUSTRIAL_KEYWORDS if w != "light industrial"]
 
 
@@ -71,7 +70,7 @@ def summary(df: DataFrame) -> DataFrame:
     """AGG-2."""
     s = F.col("flex_score")
     return df.agg(
-        F.count(ONE).alias("total_properties"), F.count_if(s >= 5).alias("flex_candidates"),
+        F.count("*").alias("total_properties"), F.count_if(s >= 5).alias("flex_candidates"),
         F.count_if(s >= 8).alias("prime_flex"), F.avg(s).alias("average_flex_score"),
         F.sum("market_value").alias("total_market_value"), F.avg("market_value").alias("average_market_value"),
         F.sum("lot_size_acres").alias("total_acres"))
@@ -180,7 +179,7 @@ def score_percentiles(df: DataFrame, score: str = "flex_score") -> DataFrame:
 
 def _moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return long_values(df, cols).groupBy("column").agg(
-        F.count(ONE).alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+        F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"))
 
 
@@ -205,7 +204,7 @@ def value_counts(df: DataFrame, cols: Sequence[str], n: int | None = 10) -> Data
     """
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols])
     counts = (df.select(F.inline(pairs)).where(F.col("value").isNotNull())
-              .groupBy("column", "value").agg(F.count(ONE).alias("n")))
+              .groupBy("column", "value").agg(F.count("*").alias("n")))
     if n is None:
         return counts
     w = Window.partitionBy("column").orderBy(F.desc("n"), "value")
@@ -214,9 +213,9 @@ def value_counts(df: DataFrame, cols: Sequence[str], n: int | None = 10) -> Data
 
 def hhi(df: DataFrame, col: str = "state") -> DataFrame:
     """AGG-12: sum of squared shares of the non-null values."""
-    counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(ONE).cast("double").alias("n"))
+    counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").cast("double").alias("n"))
     return counts.agg(F.coalesce(F.try_divide(F.sum(F.col("n") * F.col("n")), F.sum("n") * F.sum("n")), F.lit(0.0))
-                      .alias("geographic_concentration"), F.count(ONE).alias("n_values"))
+                      .alias("geographic_concentration"), F.count("*").alias("n_values"))
 
 
 def corrs(df: DataFrame, size: str = "building_sqft", lot: str = "lot_size_acres",
@@ -241,7 +240,7 @@ def keyword_stats(df: DataFrame, words: Sequence[str] = tuple(TYPE_KEYWORDS), co
     low = F.lower(F.col(col))
     hits = F.array_compact(F.array(*[F.when(low.contains(w), F.lit(w)) for w in words]))
     return df.select(F.explode(hits).alias("keyword"), score).groupBy("keyword").agg(
-        F.count(ONE).alias("n"), F.avg(score).alias("avg_score"))
+        F.count("*").alias("n"), F.avg(score).alias("avg_score"))
 
 
 def year_stats(df: DataFrame, col: str = "year_built") -> DataFrame:
@@ -258,7 +257,7 @@ def temporal_counts(df: DataFrame, year: str = "year_built", sale: str = "sale_d
     pairs = F.array(F.struct(F.lit("decade").alias("section"), F.concat(decade, F.lit("s")).alias("key")),
                     F.struct(F.lit("sale_year").alias("section"), F.year(sale).cast("string").alias("key")))
     return (df.select(F.inline(pairs)).where(F.col("key").isNotNull())
-            .groupBy("section", "key").agg(F.count(ONE).alias("n")))
+            .groupBy("section", "key").agg(F.count("*").alias("n")))
 
 
 def sale_span(df: DataFrame, sale: str = "sale_date") -> DataFrame:
@@ -267,7 +266,7 @@ def sale_span(df: DataFrame, sale: str = "sale_date") -> DataFrame:
 
 def insights(df: DataFrame, score: str = "flex_score") -> DataFrame:
     """AGG-18: one row; rates only for more than 100 rows; the three states with most high scores as text."""
-    s, total = F.col(score), F.count(ONE)
+    s, total = F.col(score), F.count("*")
     top = value_counts(df.where(s >= 7), ["state"], 3).agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "value"))), lambda x: x["value"]), ", ")
         .alias("v"))
@@ -286,7 +285,7 @@ def coverage(df: DataFrame, dims: Sequence[str] = ("state", "city", "county", "z
     dims = _present(df, dims)
     pairs = F.array(*[F.struct(F.lit(c).alias("dimension"), F.col(c).alias("value")) for c in dims])
     return (df.select(score, F.inline(pairs)).where(F.col("value").isNotNull()).groupBy("dimension", "value")
-            .agg(F.count(ONE).alias("n"), F.avg(score).alias("mean"), F.max(score).alias("max")))
+            .agg(F.count("*").alias("n"), F.avg(score).alias("mean"), F.max(score).alias("max")))
 
 
 def best_cities(df: DataFrame, n: int = 10, score: str = "flex_score") -> DataFrame:
@@ -311,7 +310,7 @@ def exec_summary(df: DataFrame, runs: DataFrame | None = None, score: str = "fle
     s = F.col(score)
     med = scalar_row(quantile_row(df, [score], [0.5]))
     out = df.agg(
-        F.count(ONE).alias("unique_flex_properties"), F.avg(s).alias("average_flex_score"),
+        F.count("*").alias("unique_flex_properties"), F.avg(s).alias("average_flex_score"),
         F.max(s).alias("highest_flex_score"), F.min(s).alias("lowest_flex_score"),
         F.count_if(s.between(8, 10)).alias("prime_flex_count"), _count_between(s, 6, 8).alias("good_flex_count"),
         _count_between(s, 4, 6).alias("potential_flex_count"), F.count_if(s < 4).alias("unlikely_flex_count"),
@@ -322,7 +321,7 @@ def exec_summary(df: DataFrame, runs: DataFrame | None = None, score: str = "fle
     if runs is None:
         return out
     r = scalar_row(runs.agg(
-        F.count(ONE).alias("files"), F.count_if("success").alias("ok"),
+        F.count("*").alias("files"), F.count_if("success").alias("ok"),
         F.sum("property_count").alias("properties")))
     before = r["properties"]
     return out.withColumns({
@@ -336,7 +335,7 @@ def metrics(df: DataFrame) -> DataFrame:
              "avg_occupancy": "occupancy"}
     kinds = {"unique_cities": "city", "unique_counties": "county", "unique_states": "state"}
     return df.agg(
-        F.count(ONE).alias("total_properties"),
+        F.count("*").alias("total_properties"),
         *[(F.avg(typed(df, c)) if c in df.columns else F.lit(None).cast("double")).alias(k) for k, c in means.items()],
         *[(F.count_distinct(c) if c in df.columns else F.lit(0).cast("bigint")).alias(k) for k, c in kinds.items()])
 
@@ -359,7 +358,7 @@ def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
     b = scalar_row(ends)
     lo, hi = b["lo"], b["hi"]
     at = F.when(hi > lo, F.least(F.floor((F.col("v") - lo) / (hi - lo) * bins), F.lit(bins - 1))).otherwise(0)
-    counts = v.groupBy(at.cast("int").alias("bin")).agg(F.count(ONE).alias("n"))
+    counts = v.groupBy(at.cast("int").alias("bin")).agg(F.count("*").alias("n"))
     width = (F.col("hi") - F.col("lo")) / bins
     grid = ends.select("lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")).select(
         "bin", (F.col("lo") + F.col("bin") * width).alias("bin_start"),
@@ -384,7 +383,7 @@ def type_overview(df: DataFrame, words: Sequence[str] = tuple(TYPE_KEYWORDS), co
 
 def type_totals(df: DataFrame, words: Sequence[str] = tuple(TYPE_KEYWORDS), col: str = "property_type") -> DataFrame:
     """AGG-25: one row: number of types, industrial types, industrial rows and their share of all rows."""
-    counts = df.groupBy(col).agg(F.count(ONE).alias("n")).withColumn("ind", contains_any(F.col(col), words))
+    counts = df.groupBy(col).agg(F.count("*").alias("n")).withColumn("ind", contains_any(F.col(col), words))
     ind = F.sum(F.when(F.col("ind"), F.col("n")).otherwise(0))
     return counts.agg(F.count(col).alias("unique_types"), F.count_if("ind").alias("industrial_types"),
                       ind.alias("total_industrial"), (F.try_divide(ind.cast("double"), F.sum("n")) * 100)
@@ -394,8 +393,8 @@ def type_totals(df: DataFrame, words: Sequence[str] = tuple(TYPE_KEYWORDS), col:
 def pass_rate(df: DataFrame, cond: Column) -> DataFrame:
     """AGG-26: rows that meet a condition and their share."""
     ok = F.count_if(F.coalesce(cond, F.lit(False)))
-    return df.agg(F.count(ONE).alias("total"), ok.alias("passed"),
-                  (F.try_divide(ok.cast("double"), F.count(ONE)) * 100).alias("pass_rate"))
+    return df.agg(F.count("*").alias("total"), ok.alias("passed"),
+                  (F.try_divide(ok.cast("double"), F.count("*")) * 100).alias("pass_rate"))
 
 
 def simple_report(df: DataFrame, place: str = "city") -> DataFrame:
@@ -411,10 +410,10 @@ def simple_report(df: DataFrame, place: str = "city") -> DataFrame:
                           F.when(F.col("multi_tenant_suitable").contains("SUITABLE"), F.lit("yes"))),
                     entry("total", F.lit("candidates")))
     return (df.select(F.inline(pairs)).where(F.col("key").isNotNull())
-            .groupBy("section", "key").agg(F.count(ONE).alias("n")))
+            .groupBy("section", "key").agg(F.count("*").alias("n")))
 
 
 def phase3(df: DataFrame, place: str = "city", score: str = "flex_score") -> DataFrame:
     """AGG-28: candidates per municipality with the mean score; grand totals are the row without a name."""
     named = df.withColumn(place, F.coalesce(F.col(place), F.lit("Unknown")))
-    return named.rollup(place).agg(F.count(ONE).alias("n"), F.avg(score).alias("avg_score"))
+    return named.rollup(place).agg(F.count("*").alias("n"), F.avg(score).alias("avg_score"))
