@@ -107,17 +107,24 @@ def to_numeric(df: DataFrame, cols: Sequence[str] = tuple(SHEET_NUMERIC)) -> Dat
     return df.withColumns(todo) if todo else df
 
 
+FILLED = {"fill_zero": ["building_sqft", "lot_size_acres", "year_built", "occupancy"],
+          "fill_median": ["building_sqft", "lot_size_acres", "year_built"]}
+
+
 def handle_missing(df: DataFrame, how: str = "skip", cols: Sequence[str] | None = None) -> DataFrame:
-    """CLN-7: ``skip``, ``fill_zero`` or ``fill_median`` for numeric columns."""
-    cols = list(cols or numeric_columns(df))
-    if how == "skip" or not cols:
+    """CLN-7: ``skip``, ``fill_zero`` or ``fill_median``; the columns are coerced to numbers first."""
+    if how == "skip":
+        return df
+    if how not in FILLED:
+        raise ValueError(f"unknown strategy {how!r}")
+    cols = [c for c in (cols or FILLED[how]) if c in df.columns]
+    if not cols:
         return df
+    typed = to_numeric(df, cols)
     if how == "fill_zero":
-        return df.na.fill(0, subset=cols)
-    if how == "fill_median":
-        med = scalar_row(quantile_row(df, cols, [0.5]))
-        return df.withColumns({c: F.coalesce(F.col(c).cast("double"), med[quantile_name(c, 0.5)]) for c in cols})
-    raise ValueError(f"unknown strategy {how!r}")
+        return typed.na.fill(0, subset=cols)
+    med = scalar_row(quantile_row(typed, cols, [0.5]))
+    return typed.withColumns({c: F.coalesce(F.col(c), med[quantile_name(c, 0.5)]) for c in cols})
 
 
 def modes(df: DataFrame, cols: Sequence[str]) -> DataFrame:

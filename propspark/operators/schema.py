@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from propspark.functions.skew import lookup_join
 from propspark.functions.text import guarded_double
 
 # Standard names and the spellings accepted for them, by profile.
@@ -260,9 +261,9 @@ def similarity(a: Column, b: Column) -> Column:
 def suggest_mapping(catalog: DataFrame, aliases: dict = PROCESSOR_ALIASES, low: float = 0.6) -> DataFrame:
     """COL-5: best standard name per catalogue row: an exact alias, else the closest spelling above ``low``.
 
-    The alias table is a constant inside the expression, so nothing is joined or moved.
+    Every distinct spelling is compared once with the constant alias table; the answers are then looked up per row.
     """
-    name = F.lower(F.trim("column"))
+    name = F.lower(F.trim("spelling"))
     pairs = [(std, a.lower()) for std, names in aliases.items() for a in names]
     table = F.array(*[F.struct(F.lit(-i).alias("i"), F.lit(std).alias("std"), F.lit(a).alias("alias"))
                       for i, (std, a) in enumerate(pairs)])
@@ -270,12 +271,14 @@ def suggest_mapping(catalog: DataFrame, aliases: dict = PROCESSOR_ALIASES, low:
     scored = F.transform(table, lambda t: F.struct(
         F.when(name == t["alias"], F.lit(2.0)).otherwise(similarity(name, t["alias"])).alias("s"),
         t["i"].alias("i"), t["std"].alias("std")))
-    out = catalog.withColumn("__best", F.array_max(scored)).where(F.col("__best.s") > low)
-    exact = F.col("__best.s") == 2.0
-    return out.withColumns({
-        "suggested": F.col("__best.std"),
-        "confidence": F.when(exact, 1.0).otherwise(F.col("__best.s")),
-        "mapping_type": F.when(exact, "exact").otherwise("fuzzy")}).drop("__best")
+    # Working on an aggregate result keeps the comparison from being pushed below the aggregate, onto every row.
+    spellings = (catalog.groupBy("column").agg(F.max("column").alias("spelling"))
+                 .withColumn("best", F.array_max(scored)).where(F.col("best.s") > low))
+    exact = F.col("best.s") == 2.0
+    answers = spellings.select(
+        "column", F.col("best.std").alias("suggested"), F.when(exact, 1.0).otherwise(F.col("best.s")).alias("confidence"),
+        F.when(exact, "exact").otherwise("fuzzy").alias("mapping_type"))
+    return lookup_join(catalog, answers, ["column"], "inner", salt_by=["source_file", "position"])
 
 
 def unmapped_required(catalog: DataFrame, mapping: DataFrame, required: Sequence[str]) -> DataFrame:
