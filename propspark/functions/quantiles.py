@@ -35,72 +35,54 @@ def long_values(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> D
     )
 
 
+def _picked(counts: DataFrame, within: Sequence[str], along: str, base: Column, ranks: Column, keep: Sequence[str]) -> DataFrame:
+    """The cells of ``counts`` that hold a wanted rank: ``base`` rows come before the first cell of ``within``."""
+    running = Window.partitionBy(*within).orderBy(along).rowsBetween(Window.unboundedPreceding, 0)
+    upto = base + F.sum("n").over(running)
+    cells = counts.select(*within, along, *keep, upto.alias("upto"), (upto - F.col("n")).alias("base"), ranks.alias("hits"))
+    hits = F.filter("hits", lambda r: (r < F.col("upto")) & (r >= F.col("base")))
+    return cells.select(*within, along, *keep, "base", hits.alias("hits")).where(F.size("hits") > 0)
+
+
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                     by: Sequence[str] = ()) -> DataFrame:
     """Rows (by…, column, prob, value): quantiles with linear interpolation between neighbouring ranks."""
     by = list(by)
     group = by + ["column"]
     values = long_values(df, cols, by).withColumn("b1", _bucket(F.col("value")))
+    zero = F.lit(0).cast("bigint")
 
+    total = F.sum("n").over(Window.partitionBy(*group))
     level1 = values.groupBy(*group, "b1").agg(
-        F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-    running = Window.partitionBy(*group).orderBy("b1").rowsBetween(Window.unboundedPreceding, 0)
+        F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")).withColumn("total", total)
     ranks = F.array_distinct(F.flatten(F.array(*[
         F.array(F.floor(F.lit(float(p)) * (F.col("total") - 1)), F.ceil(F.lit(float(p)) * (F.col("total") - 1)))
         for p in probs])))
-    level1 = (
-        level1.withColumn("upto", F.sum("n").over(running))
-        .withColumn("total", F.sum("n").over(Window.partitionBy(*group)))
-        .withColumn("hits", F.filter(ranks, lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n"))))
-        .where(F.size("hits") > 0)
-    )
-    pick1 = level1.select(*group, "b1", "lo", "hi", "total", (F.col("upto") - F.col("n")).alias("base"), "hits")
-
-    in1 = _limited(values.join(_small(pick1.select(*group, "b1", "lo", "hi"), by), group + ["b1"]), group)
-    in1 = in1.withColumn("b2", _slice(F.col("value"), F.col("lo"), F.col("hi")))
-    level2 = in1.groupBy(*group, "b1", "b2").agg(F.count(F.lit(1)).alias("n"))
-    running2 = Window.partitionBy(*group, "b1").orderBy("b2").rowsBetween(Window.unboundedPreceding, 0)
-    level2 = (
-        level2.withColumn("upto", F.sum("n").over(running2))
-        .join(_small(pick1.select(*group, "b1", "total", "base", "hits"), by), group + ["b1"])
-        .withColumn("upto", F.col("upto") + F.col("base"))
-        .withColumn("hits", F.filter("hits", lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n"))))
-        .where(F.size("hits") > 0)
-    )
-    pick2 = level2.select(*group, "b1", "b2", "total", (F.col("upto") - F.col("n")).alias("base"), "hits")
-
-    in2 = in1.join(_small(pick2.select(*group, "b1", "b2"), by), group + ["b1", "b2"])
-    level3 = in2.groupBy(*group, "b1", "b2", "value").agg(F.count(F.lit(1)).alias("n"))
-    running3 = Window.partitionBy(*group, "b1", "b2").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    found = (
-        level3.withColumn("upto", F.sum("n").over(running3))
-        .join(_small(pick2, by), group + ["b1", "b2"])
-        .withColumn("upto", F.col("upto") + F.col("base"))
-        .withColumn("hits", F.filter("hits", lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n"))))
-        .select(*group, "total", F.explode("hits").alias("rank"), "value")
-    )
+    pick1 = _picked(level1, group, "b1", zero, ranks, ["lo", "hi", "total"])
 
-    at = {float(p): F.lit(float(p)) * (F.col("total") - 1) for p in probs}
-    wanted = F.array(*[F.struct(F.lit(p).alias("prob"), pos.alias("pos")) for p, pos in at.items()])
-    matches = found.withColumn("w", F.explode(wanted)).select(
-        *group, "rank", "value", F.col("w.prob").alias("prob"), F.col("w.pos").alias("pos"))
-    low = F.max(F.when(F.col("rank") == F.floor("pos"), F.col("value")))
-    high = F.max(F.when(F.col("rank") == F.ceil("pos"), F.col("value")))
-    return (
-        matches.where((F.col("rank") == F.floor("pos")) | (F.col("rank") == F.ceil("pos")))
-        .groupBy(*group, "prob")
-        .agg(low.alias("l"), high.alias("h"), F.max(F.col("pos") - F.floor("pos")).alias("f"))
-        .select(*group, "prob", (F.col("l") + (F.col("h") - F.col("l")) * F.col("f")).alias("value"))
-    )
+    # Everything known about a picked cell travels with its rows, so that later steps need no further join.
+    carried = [F.any_value(c).alias(c) for c in ("lo", "hi", "total", "base", "hits")]
+    slice_of = _slice(F.col("value"), F.col("lo"), F.col("hi"))
+    level2 = (values.join(_small(pick1, by), group + ["b1"])
+              .groupBy(*group, "b1", slice_of.alias("b2")).agg(F.count("*").alias("n"), *carried))
+    pick2 = _picked(level2, group + ["b1"], "b2", F.col("base"), F.col("hits"), ["lo", "hi", "total"])
 
+    level3 = (values.join(_small(pick2, by), group + ["b1"]).where(slice_of == F.col("b2"))
+              .groupBy(*group, "b1", "b2", "value").agg(F.count("*").alias("n"), *carried[2:]))
+    pick3 = _picked(level3, group + ["b1", "b2"], "value", F.col("base"), F.col("hits"), ["total"])
 
-def _small(df: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Without groups the picked buckets are at most 2 x columns x probabilities rows: safe to broadcast."""
-    return df if by else F.broadcast(df)
+    wanted = F.array(*[F.struct(F.lit(float(p)).alias("prob"), (F.lit(float(p)) * (F.col("total") - 1)).alias("pos"))
+                       for p in probs])
+    found = pick3.select(*group, "value", "hits", F.inline(wanted))
+    low = F.max(F.when(F.array_contains("hits", F.floor("pos")), F.col("value")))
+    high = F.max(F.when(F.array_contains("hits", F.ceil("pos")), F.col("value")))
+    ends = found.groupBy(*group, "prob").agg(low.alias("l"), high.alias("h"), F.max(F.col("pos") - F.floor("pos")).alias("f"))
+    return ends.select(*group, "prob", (F.col("l") + (F.col("h") - F.col("l")) * F.col("f")).alias("value"))
 
 
-def _limited(df: DataFrame, group: Sequence[str]) -> DataFrame:
-    return df.select(*group, "b1", "lo", "hi", "value")
+def _small(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Without groups the picked cells are at most 2 x columns x probabilities rows: safe to broadcast."""
+    return df if by else F.broadcast(df)
 
 
 def quantile_name(col: str, prob: float) -> str:
@@ -118,3 +100,8 @@ def quantile_row(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) ->
 def scalar_row(row: DataFrame) -> Column:
     """A one-row frame as a struct-valued scalar subquery: usable in any expression, without a join."""
     return row.select(F.struct(*row.columns).alias("s")).scalar()
+
+
+def with_row(df: DataFrame, row: DataFrame, name: str = "__row") -> DataFrame:
+    """``df`` with the one-row frame as a struct column, for expressions that use several of its fields."""
+    return df.withColumn(name, scalar_row(row))

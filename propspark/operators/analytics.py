@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from propspark.functions.quantiles import (exact_quantiles, long_values, quantile_name, quantile_row, scalar_row)
+from propspark.functions.quantiles import (exact_quantiles, long_values, quantile_name, quantile_row, scalar_row, with_row)
 from propspark.functions.text import clean_numeric_zero, contains_any
 from propspark.operators.filters import INDUSTRIAL_KEYWORDS, typed
 from propspark.operators.scoring import COMPONENTS
@@ -355,10 +355,9 @@ def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
     """AGG-24: equal-width bins between minimum and maximum; the last bin is closed; empty bins are kept."""
     v = df.select(typed(df, col).alias("v")).where(F.col("v").isNotNull())
     ends = v.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    b = scalar_row(ends)
-    lo, hi = b["lo"], b["hi"]
+    lo, hi = F.col("__row")["lo"], F.col("__row")["hi"]
     at = F.when(hi > lo, F.least(F.floor((F.col("v") - lo) / (hi - lo) * bins), F.lit(bins - 1))).otherwise(0)
-    counts = v.groupBy(at.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    counts = with_row(v, ends).groupBy(at.cast("int").alias("bin")).agg(F.count("*").alias("n"))
     width = (F.col("hi") - F.col("lo")) / bins
     grid = ends.select("lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")).select(
         "bin", (F.col("lo") + F.col("bin") * width).alias("bin_start"),

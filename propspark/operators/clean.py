@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from propspark.functions.ffill import forward_fill
-from propspark.functions.quantiles import quantile_name, quantile_row, scalar_row
+from propspark.functions.quantiles import quantile_name, quantile_row, with_row
 from propspark.functions.text import (clean_numeric_zero, clean_text, guarded_double, looks_numeric, nan_to_null)
 from propspark.operators.schema import clean_names, standardize_columns
 
@@ -123,8 +123,9 @@ def handle_missing(df: DataFrame, how: str = "skip", cols: Sequence[str] | None
     typed = to_numeric(df, cols)
     if how == "fill_zero":
         return typed.na.fill(0, subset=cols)
-    med = scalar_row(quantile_row(typed, cols, [0.5]))
-    return typed.withColumns({c: F.coalesce(F.col(c), med[quantile_name(c, 0.5)]) for c in cols})
+    med = F.col("__row")
+    return (with_row(typed, quantile_row(typed, cols, [0.5]))
+            .withColumns({c: F.coalesce(F.col(c), med[quantile_name(c, 0.5)]) for c in cols}).drop("__row"))
 
 
 def modes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -149,17 +150,21 @@ def impute(df: DataFrame, position: str, by: Sequence[str] = (), tie: Sequence[s
     fill: dict[str, Column] = {}
     by_median = [c for c in numbers if share[c] < low]
     if by_median:
-        med = scalar_row(quantile_row(df, by_median, [0.5]))
+        med = F.col("__medians")
         fill |= {c: F.coalesce(F.col(c).cast("double"), med[quantile_name(c, 0.5)]) for c in by_median}
     by_mode = [c for c in words if share[c] < low]
     if by_mode:
-        best = scalar_row(modes(df, by_mode))
+        best = F.col("__modes")
         fill |= {c: F.coalesce(F.col(c), best[c], F.lit("Unknown")) for c in by_mode}
     fill |= {c: F.coalesce(F.col(c), F.lit("Unknown")) for c in words if share[c] >= low}
     carried = [c for c in numbers if share[c] >= low]
     out = forward_fill(df, carried, position, by, tie, block_rows) if carried else df
     fill |= {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in carried}
-    return out.withColumns(fill) if fill else out
+    if by_median:
+        out = with_row(out, quantile_row(df, by_median, [0.5]), "__medians")
+    if by_mode:
+        out = with_row(out, modes(df, by_mode), "__modes")
+    return out.withColumns(fill).drop("__medians", "__modes") if fill else out
 
 
 def winsorize(df: DataFrame, cols: Sequence[str] | None = None, k: float = 3.0) -> DataFrame:
@@ -167,14 +172,14 @@ def winsorize(df: DataFrame, cols: Sequence[str] | None = None, k: float = 3.0)
     cols = list(cols or numeric_columns(df))
     if not cols:
         return df
-    stats = scalar_row(df.agg(*[e for c in cols for e in (F.avg(c).alias(f"m_{c}"), F.stddev_samp(c).alias(f"s_{c}"))]))
+    stats = df.agg(*[e for c in cols for e in (F.avg(c).alias(f"m_{c}"), F.stddev_samp(c).alias(f"s_{c}"))])
 
     def capped(c):
-        m, s = stats[f"m_{c}"], stats[f"s_{c}"]
+        m, s = F.col("__row")[f"m_{c}"], F.col("__row")[f"s_{c}"]
         v = F.col(c).cast("double")
         return F.when((s > 0) & (F.abs(v - m) > s * k), F.greatest(F.least(v, m + s * k), m - s * k)).otherwise(v)
 
-    return df.withColumns({c: capped(c) for c in cols})
+    return with_row(df, stats).withColumns({c: capped(c) for c in cols}).drop("__row")
 
 
 def clean_text_columns(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from propspark.functions.quantiles import exact_quantiles, quantile_name, quantile_row, scalar_row
+from propspark.functions.quantiles import exact_quantiles, quantile_name, quantile_row, with_row
 from propspark.functions.text import clean_numeric, guarded_double
 from propspark.operators.analytics import profile, value_counts
 from propspark.operators.clean import numeric_columns, text_columns, text_values
@@ -273,28 +273,36 @@ def outlier_bounds(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> DataFr
     return quartiles.withColumns({"lower_bound": F.col("q1") - k * iqr, "upper_bound": F.col("q3") + k * iqr})
 
 
-def _outside(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> dict[str, Column]:
-    b = scalar_row(quantile_row(df, cols, [0.25, 0.75]))
-    out = {}
-    for c in cols:
-        q1, q3 = b[quantile_name(c, 0.25)], b[quantile_name(c, 0.75)]
-        v = q(c).cast("double")
-        out[c] = (v < q1 - k * (q3 - q1)) | (v > q3 + k * (q3 - q1))
-    return out
+def _bounds_row(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> DataFrame:
+    """One row with the fields lo_i and hi_i of the i-th column."""
+    quartiles = quantile_row(df, cols, [0.25, 0.75])
+    out = []
+    for i, c in enumerate(cols):
+        q1, q3 = F.col(quantile_name(c, 0.25)), F.col(quantile_name(c, 0.75))
+        out += [(q1 - k * (q3 - q1)).alias(f"lo_{i}"), (q3 + k * (q3 - q1)).alias(f"hi_{i}")]
+    return quartiles.select(*out)
+
+
+def mark_outliers(df: DataFrame, cols: Sequence[str], prefix: str = "__o") -> DataFrame:
+    """``df`` with a boolean column per given column: whether the value lies beyond the bounds."""
+    bounded = with_row(df, _bounds_row(df, cols), "__b")
+    b = F.col("__b")
+    flags = {f"{prefix}{i}": F.coalesce((q(c).cast("double") < b[f"lo_{i}"]) | (q(c).cast("double") > b[f"hi_{i}"]), F.lit(False))
+             for i, c in enumerate(cols)}
+    return bounded.withColumns(flags).drop("__b")
 
 
 def outliers(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """DQ-11: rows (column, n_outliers, pct)."""
-    flags = _outside(df, cols)
-    marked = df.select(*[F.coalesce(f, F.lit(False)).alias(f"o{i}") for i, f in enumerate(flags.values())])
-    parts = [F.struct(F.lit(c).alias("column"), F.count_if(f"o{i}").alias("n_outliers"),
-                      (ratio(F.count_if(f"o{i}"), F.count("*")) * 100).alias("pct")) for i, c in enumerate(flags)]
+    marked = mark_outliers(df.select(*cols), cols)
+    parts = [F.struct(F.lit(c).alias("column"), F.count_if(f"__o{i}").alias("n_outliers"),
+                      (ratio(F.count_if(f"__o{i}"), F.count("*")) * 100).alias("pct")) for i, c in enumerate(cols)]
     return marked.agg(F.array(*parts).alias("a")).select(F.inline("a"))
 
 
 def outlier_rows(df: DataFrame, col: str) -> DataFrame:
     """DQ-11: the rows outside the bounds."""
-    return df.where(_outside(df, [col])[col])
+    return mark_outliers(df, [col]).where("__o0").drop("__o0")
 
 
 def case_variants(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -309,11 +317,10 @@ def quality4(df: DataFrame) -> DataFrame:
     """DQ-9: one row: completeness, consistency, validity, uniqueness, their mean and validity (mean above .3)."""
     numbers, words, n_cols = numeric_columns(df), text_columns(df), len(df.columns)
     cells = sum([F.count(q(c)) for c in df.columns])
-    flags = _outside(df, numbers) if numbers else {}
     negative = {c: q(c) < 0 for c in numbers if c.lower() in NEVER_NEGATIVE}
-    marked = df.withColumns({f"__o{i}": F.coalesce(f, F.lit(False)) for i, f in enumerate(flags.values())}) if flags else df
+    marked = mark_outliers(df, numbers) if numbers else df
     validity = F.lit(float(n_cols - len(numbers)))
-    for i, c in enumerate(flags):
+    for i, c in enumerate(numbers):
         share = F.count_if(f"__o{i}") / F.count("*") * 100
         score = F.when(share > 5, F.greatest(F.lit(0.5), 1 - share / 100)).otherwise(1.0)
         if c in negative:
@@ -361,8 +368,7 @@ def cleaning_report(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     after = df.select(*[F.struct(q(c).isNull().alias("was"), (clean_numeric(q(c)) if types[c] == "string" else q(c).cast("double")).alias("v")).alias(f"c{i}")
                         for i, c in enumerate(cols)])
     flat = after.select(*[F.col(f"c{i}.v").alias(f"v{i}") for i in range(len(cols))], *[F.col(f"c{i}.was").alias(f"w{i}") for i in range(len(cols))])
-    flags = _outside(flat, [f"v{i}" for i in range(len(cols))])
-    marked = flat.withColumns({f"o{i}": F.coalesce(flags[f"v{i}"], F.lit(False)) for i in range(len(cols))})
+    marked = mark_outliers(flat, [f"v{i}" for i in range(len(cols))], "o")
     parts = []
     for i, c in enumerate(cols):
         before, now = F.count_if(f"w{i}"), F.count_if(F.col(f"v{i}").isNull())
@@ -449,12 +455,14 @@ def processing_report(df: DataFrame, numeric: Sequence[str]) -> DataFrame:
     changed = cleaned.where("type_changed").select(F.lit("type_conversions").alias("section"), F.col("column").alias("key"), F.lit(1.0).alias("value"))
     dash = quality_dash(df)
     parts = ["completeness", "consistency", "validity", "accuracy", "total_score"]
-    score = dash.select(F.inline(F.array(*[F.struct(F.lit("quality_breakdown").alias("section"), F.lit(p).alias("key"), F.col(p).alias("value")) for p in parts])))
-    advice = lambda src, key, value: src.select(F.lit("recommendation").alias("section"), F.lit(key).alias("key"), value.alias("value"))
-    tips = (
-        advice(nulls.where("alarm").agg(F.count("*").alias("c")).where("c > 0"), "high_missing_data", F.col("c").cast("double"))
-        .unionByName(advice(dash.where("total_score < 70"), "low_quality_score", F.col("total_score")))
-        .unionByName(advice(found.agg(F.sum("value").alias("s")).where("s > 0"), "review_outliers", F.col("s")))
-        .unionByName(advice(dash.where("completeness < 30"), "low_completeness", F.col("completeness")))
-        .unionByName(advice(dash.where("consistency < 15"), "type_inconsistencies", F.col("consistency"))))
-    return nulls.drop("alarm").unionByName(found).unionByName(changed).unionByName(score).unionByName(tips)
+    tip = lambda key, cond, value: F.when(cond, F.struct(F.lit("recommendation").alias("section"), F.lit(key).alias("key"), value.alias("value")))
+    score = dash.select(F.inline(F.array_compact(F.array(
+        *[F.struct(F.lit("quality_breakdown").alias("section"), F.lit(p).alias("key"), F.col(p).alias("value")) for p in parts],
+        tip("low_quality_score", F.col("total_score") < 70, F.col("total_score")),
+        tip("low_completeness", F.col("completeness") < 30, F.col("completeness")),
+        tip("type_inconsistencies", F.col("consistency") < 15, F.col("consistency"))))))
+    tips = (nulls.where("alarm").groupBy(F.lit("recommendation").alias("section"), F.lit("high_missing_data").alias("key"))
+            .agg(F.count("*").cast("double").alias("value")))
+    review = (found.groupBy(F.lit("recommendation").alias("section"), F.lit("review_outliers").alias("key"))
+              .agg(F.sum("value").alias("value")))
+    return nulls.drop("alarm").unionByName(found).unionByName(changed).unionByName(score).unionByName(tips).unionByName(review)
