@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from propspark.functions.pin import pinned
 from propspark.functions.rules import Band, band_points, bonus, first_hit, keyword_points, label
 from propspark.functions.text import compact_flags, guarded_double
 
@@ -68,7 +69,7 @@ def base_components(df: DataFrame) -> dict[str, Column]:
 
 def flex_score(df: DataFrame, name: str = "flex_score") -> DataFrame:
     """SCO-1: size + type + lot + age + occupancy, at most 10."""
-    return df.withColumn(name, F.least(sum(base_components(df).values()), F.lit(MAX_SCORE)))
+    return pinned(df, name, F.least(sum(base_components(df).values()), F.lit(MAX_SCORE)))
 
 
 @dataclass(frozen=True)
@@ -121,7 +122,7 @@ def flex_score_cfg(df: DataFrame, cfg: ScoreConfig, name: str = "flex_score",
     """SCO-2 and SCO-3: the configured score and a struct of its weighted parts."""
     parts = config_components(df, cfg)
     total = F.least(sum(parts.values()), F.lit(float(cfg.max_score)))
-    return df.withColumn(breakdown, F.struct(*[v.alias(k) for k, v in parts.items()])).withColumn(name, total)
+    return pinned(df.withColumn(breakdown, F.struct(*[v.alias(k) for k, v in parts.items()])), name, total)
 
 
 # --- SCO-4 and its parts -------------------------------------------------------------------------------------------
@@ -235,10 +236,8 @@ def weighted_score(df: DataFrame, today: str, name: str = "flex_score") -> DataF
     high = (F.col("zoning_score") >= 8) & (F.col("size_score") >= 7)
     good = F.col("building_score") >= 8
     total = F.least(mean + F.when(high, 0.5).otherwise(0.0) + F.when(good, 0.3).otherwise(0.0), F.lit(10.0))
-    return out.withColumns({
-        "flags": compact_flags((high, "HIGH_POTENTIAL"), (good, "IDEAL_BUILDING")),
-        name: F.bround(total, 2),
-    })
+    flagged = out.withColumn("flags", compact_flags((high, "HIGH_POTENTIAL"), (good, "IDEAL_BUILDING")))
+    return pinned(flagged, name, F.bround(total, 2))
 
 
 def classify_score(score: Column) -> Column:
@@ -309,7 +308,7 @@ def simple_score(df: DataFrame, sqft: str = "derived_sqft", name: str = "flex_sc
         ind = F.col("flex_indicators")
         score = score + bonus((F.coalesce(ind["is_flex_compatible"], F.lit(False)), 1),
                               (F.coalesce(ind["property_type_score"], F.lit(0.0)) > 2, 0.5))
-    return df.withColumn(name, F.bround(score, 2))
+    return pinned(df, name, F.bround(score, 2))
 
 
 def potential_label(score: Column) -> Column:
