@@ -17,7 +17,8 @@ _SLICES = 1 << 20
 
 def _bucket(v: Column) -> Column:
     """Bucket number that never falls when the value rises; zero has a bucket of its own."""
-    magnitude = F.floor((F.log2(F.abs(v)) + F.lit(1100.0)) * _PER_OCTAVE) + 1
+    finite = F.abs(v) <= F.lit(1.7976931348623157e308)
+    magnitude = F.when(finite, F.floor((F.log2(F.abs(v)) + F.lit(1100.0)) * _PER_OCTAVE) + 1).otherwise(F.lit(1 << 30))
     return F.when(v == 0, F.lit(0)).when(v > 0, magnitude).otherwise(-magnitude).cast("long")
 
 
@@ -77,7 +78,8 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     low = F.max(F.when(F.array_contains("hits", F.floor("pos")), F.col("value")))
     high = F.max(F.when(F.array_contains("hits", F.ceil("pos")), F.col("value")))
     ends = found.groupBy(*group, "prob").agg(low.alias("l"), high.alias("h"), F.max(F.col("pos") - F.floor("pos")).alias("f"))
-    return ends.select(*group, "prob", (F.col("l") + (F.col("h") - F.col("l")) * F.col("f")).alias("value"))
+    between = F.when(F.col("l") == F.col("h"), F.col("l")).otherwise(F.col("l") + (F.col("h") - F.col("l")) * F.col("f"))
+    return ends.select(*group, "prob", between.alias("value"))
 
 
 def _small(df: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -148,7 +148,7 @@ def _(spark, d):
 
 
 @query("src5_flatten_features", P + """SELECT parcel_id, property_use, lot_size_acres AS acres, owner_name, city AS municipality, market_value, 0.0::double AS sale_price,
- 'pbc_gis_property_use' AS source FROM props""")
+ 'gis_property_use' AS source FROM props""")
 def _(spark, d):
     attrs = F.struct(F.col("parcel_id").alias("PARID"), F.col("property_use").alias("PROPERTY_USE"), F.col("lot_size_acres").alias("ACRES"),
                      F.col("owner_name").alias("OWNER_NAME1"), F.col("city").alias("MUNICIPALITY"), F.col("market_value").alias("TOTAL_MARKET"))

@@ -453,7 +453,7 @@ def _(spark, d):
     return io.flatten_metrics(nested)
 
 
-@query("snk7_stamp", S + """SELECT rid, 'T' AS export_timestamp, 'Flex Property Intelligence Platform' AS data_source, source_file AS aggregation_source_file, 'T' AS aggregation_processed_date,
+@query("snk7_stamp", S + """SELECT rid, 'T' AS export_timestamp, 'propspark' AS data_source, source_file AS aggregation_source_file, 'T' AS aggregation_processed_date,
  'scalable_v1.0' AS pipeline_version FROM cand""")
 def _(spark, d):
     out = io.stamp(candidates(spark, d), {"export_timestamp": "T", "aggregation_processed_date": "T"})

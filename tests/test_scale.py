@@ -39,6 +39,11 @@ def test_ungrouped_quantiles(spark):
     assert got == pytest.approx(dict(zip(PROBS, np.quantile([r[0] for r in rows], PROBS))))
 
 
+def test_infinite_values_do_not_break_quantiles(spark):
+    df = spark.createDataFrame([(1.0,), (float("inf"),), (float("-inf"),)], "x double")
+    assert [r["value"] for r in exact_quantiles(df, ["x"], [0.0, 0.5, 1.0]).orderBy("prob").collect()] == [float("-inf"), 1.0, float("inf")]
+
+
 FLOATS = st.lists(st.floats(allow_nan=False, allow_infinity=False, width=32), min_size=1, max_size=40)
 
 
