@@ -84,8 +84,8 @@ def link(calls: DataFrame, results: DataFrame, schemas: Sequence[Param], message
     """One row per call (conv_id, turn, call_id, name, arguments as JSON text), result (conv_id, turn, call_id, content)
     and, where given, plain message (conv_id, turn, role, content).
 
-    Returns conv_id, turn, kind, call_id, linked, at, level, valid, problems and json. Sorting a conversation by at,
-    level and turn is a topological order that keeps the turns where they allow it.
+    Returns conv_id, turn, kind, call_id, linked, order_turn, level, valid, problems and json. Sorting a conversation by
+    order_turn, level and turn is a topological order that keeps the turns where they allow it.
     """
     key = ["conv_id", "call_id"]
     calls = stored(calls.select("conv_id", "turn", "call_id", "name", "arguments"))
@@ -110,14 +110,14 @@ def link(calls: DataFrame, results: DataFrame, schemas: Sequence[Param], message
     is_object = F.coalesce(F.schema_of_variant("variant").startswith("OBJECT"), F.lit(False))
     call_rows = c.select(
         "conv_id", "turn", F.lit("call").alias("kind"), "call_id", F.coalesce("answered", F.lit(False)).alias("linked"),
-        F.coalesce("at", "turn").alias("at"), (F.col("depth") * 2).alias("level"), (F.size(wrong) == 0).alias("valid"),
+        F.coalesce("at", "turn").alias("order_turn"), (F.col("depth") * 2).alias("level"), (F.size(wrong) == 0).alias("valid"),
         F.concat(wrong, extra).alias("problems"),
         F.to_json(F.struct(F.when(is_object, F.col("variant")).alias("arguments"), F.col("call_id").alias("id"), "name",
                            F.when(~is_object, F.col("arguments")).alias("raw"), F.lit("assistant").alias("role"))).alias("json"))
     r = results.join(ids, key, "left").join(known, key, "left")
     result_rows = r.select(
         "conv_id", "turn", F.lit("result").alias("kind"), "call_id", F.col("first_turn").isNotNull().alias("linked"),
-        F.greatest("turn", F.coalesce("at", "turn")).alias("at"),
+        F.greatest("turn", F.coalesce("at", "turn")).alias("order_turn"),
         F.when(F.col("first_turn").isNull(), 0).otherwise(F.col("depth") * 2 + 1).alias("level"),
         F.col("first_turn").isNotNull().alias("valid"),
         F.when(F.col("first_turn").isNull(), F.array(F.lit("no call"))).otherwise(F.array().cast("array<string>")).alias("problems"),
@@ -126,6 +126,6 @@ def link(calls: DataFrame, results: DataFrame, schemas: Sequence[Param], message
     if messages is not None:
         out = out.unionByName(messages.select(
             "conv_id", "turn", F.lit("message").alias("kind"), F.lit(None).cast("string").alias("call_id"), F.lit(False).alias("linked"),
-            F.col("turn").alias("at"), F.lit(0).alias("level"), F.lit(True).alias("valid"), F.array().cast("array<string>").alias("problems"),
+            F.col("turn").alias("order_turn"), F.lit(0).alias("level"), F.lit(True).alias("valid"), F.array().cast("array<string>").alias("problems"),
             F.to_json(F.struct("content", "role")).alias("json")))
     return out
