@@ -107,7 +107,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("doc_id", "n_chars", "edited_sha256", spotsigs.fingerprint(F.col("sigs")).alias("fingerprint"),
                         spotsigs.fingerprint(F.col("edited_sigs")).alias("edited_fingerprint"),
                         spotsigs.likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"),
-                        spotsigs.likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"))
+                        spotsigs.likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"), "next_id")
 
 
 @query("op7_cotrain")

@@ -81,7 +81,7 @@ def _key(doc_id: str, text_hash: str) -> Column:
 
 
 def edited_pairs(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, and the signature sets sigs, edited_sigs and next_sigs of a document's text, of its
+    """doc_id, next_id, n_chars, edited_sha256, and the signature sets sigs, edited_sigs and next_sigs of a document's text, of its
     edited text and of the next document's text. The edited text has its last half replaced by the next text's start.
 
     The texts are shuffled once, by document; what each gives to the one before it is shuffled once more.
@@ -93,11 +93,12 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     texts = base.select(_key("doc_id", "text_hash").alias("key"), "doc_id", "text").dropDuplicates(["key"])
     sizes = stored(base.select(_key("doc_id", "text_hash").alias("key"), F.length("text").alias("n_chars")).distinct())
     asks = order.join(sizes, "key").select(F.col("next_key").alias("key"), F.col("key").alias("to"), F.floor(F.col("n_chars") / 2).cast("int").alias("half"))
-    given = texts.join(asks, "key").select(F.col("to").alias("key"), F.substring(F.col("text"), F.lit(1), F.col("half")).alias("start"),
+    # The id goes along so that both uses of the texts read the same columns and thus share one shuffle.
+    given = texts.join(asks, "key").select(F.col("to").alias("key"), F.col("doc_id").alias("next_id"), F.substring(F.col("text"), F.lit(1), F.col("half")).alias("start"),
                                            signatures(F.col("text")).alias("next_sigs"))
     n = F.length("text")
     whole = texts.join(given, "key").select(
-        "doc_id", n.cast("long").alias("n_chars"), "text", "next_sigs",
+        "doc_id", "next_id", n.cast("long").alias("n_chars"), "text", "next_sigs",
         F.concat(F.substring(F.col("text"), F.lit(1), n - F.floor(n / 2).cast("int")), "start").alias("edited"))
-    return whole.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
+    return whole.select("doc_id", "next_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
                         signatures(F.col("text")).alias("sigs"), signatures(F.col("edited")).alias("edited_sigs"), "next_sigs")
