@@ -25,8 +25,9 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from propspark.llm.common import stored, text_of
 
-LABELLED = 20_000
-POOL = 20_000
+LABELLED = 10_000
+POOL = 10_000
+BLOCK = 2048
 ROUNDS = 3
 SURE = 0.98
 MARKERS = 400
@@ -66,15 +67,18 @@ def meta_features(source: str | None, lang: str | None, n_chars: int) -> np.ndar
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
-    """Ridge logistic regression by Newton steps; the first column is the constant and is not shrunk."""
+    """Ridge logistic regression by Newton steps, summed over blocks of rows; the first column is the constant and is not
+    shrunk."""
     w = np.zeros(x.shape[1])
     shrink = np.full(x.shape[1], ridge)
     shrink[0] = 1e-6
-    x = x.astype(np.float64)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (p - y) + shrink * w
-        bend = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(shrink)
+        slope, bend = shrink * w, np.diag(shrink)
+        for at in range(0, len(x), BLOCK):
+            part = x[at:at + BLOCK].astype(np.float64)
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            slope = slope + part.T @ (p - y[at:at + BLOCK])
+            bend = bend + (part * (p * (1 - p) + 1e-6)[:, None]).T @ part
         step = np.linalg.solve(bend, slope)
         w -= step
         if np.abs(step).max() < 1e-6:
