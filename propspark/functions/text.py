@@ -104,6 +104,12 @@ def parcel_key(c: Column) -> Column:
     return F.when(F.length(raw) >= 17, raw).otherwise(F.lpad(raw, 17, "0"))
 
 
+def lookup_key(c: Column) -> Column:
+    """:func:`parcel_key` for lookups: NULL for blank ids, ids of zeros alone and placeholders, which match nothing."""
+    raw = F.lower(F.regexp_replace(c.cast("string"), "[^0-9A-Za-z]", ""))
+    return F.when(~raw.rlike("^0*$") & ~raw.isin("na", "nan", "null", "none", "unknown", "tbd"), parcel_key(c))
+
+
 def dashed_parcel(c: Column) -> Column:
     """The 2-2-2-2-2-3-rest dashed spelling of a parcel id."""
     cuts = [(1, 2), (3, 2), (5, 2), (7, 2), (9, 2), (11, 3), (14, 2147483647)]

@@ -11,20 +11,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def widened(df: DataFrame, keys: list[str]) -> DataFrame:
-    """``df`` spread over all cores when its input has fewer splits than that; a larger input is left as it is.
-
-    A small file is read by one task, and joins with small tables keep that, so all later work would run on one core.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
-
-
 def props(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One property per line item. Dimension sizes decide between broadcast and shuffle joins at run time."""
     li, orders, part, supplier, nation, region = (
         table(spark, sf_dir, n) for n in ("lineitem", "orders", "part", "supplier", "nation", "region"))
-    li = widened(li, ["l_orderkey", "l_linenumber"])
+    li = li.repartition("l_orderkey")  # the join with orders needs this partitioning and shuffles no second time
     base = (
         li.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(part, F.col("l_partkey") == F.col("p_partkey"))

@@ -43,7 +43,7 @@ def _(spark, d):
 
 @query("ml3_segments")
 def _(spark, d):
-    out, _ = ml.segment(props(spark, d).select("rid", *ML_COLS), n_init=2)
+    out, _ = ml.segment(props(spark, d).select("rid", *ML_COLS))
     return ml.segment_sizes(out)
 
 
@@ -72,7 +72,7 @@ def _(spark, d):
 @query("ml5_filter_chain")
 def _(spark, d):
     df = props(spark, d).select("rid", *ML_COLS)
-    _, summary = ml.apply_ml(df, ["rid"], contamination=0.1, clusters=3, reference=REF, low=0.5, n_init=1)
+    _, summary = ml.apply_ml(df, ["rid"], contamination=0.1, clusters=3, reference=REF, low=0.5)
     return summary
 
 
@@ -361,7 +361,7 @@ def _(spark, d):
     schema = table(spark, d, "orders").schema
     pick = lambda b: b.where("o_totalprice > 100000").select("source_file", "o_orderkey", F.round(F.col("o_totalprice") * 10, 2).alias("market_value"))
     for _ in range(2):  # the second run finds nothing new
-        q = ingest.ingest_stream(spark, d, schema, f"{base}/out", f"{base}/ckpt", transform=pick, pattern="orders.parquet", key=["o_orderkey"])
+        q = ingest.ingest_stream(spark, d, schema, f"{base}/out", f"{base}/ckpt", transform=pick, pattern="orders.parquet")
         q.awaitTermination()
     return spark.read.parquet(f"{base}/out").drop("batch_id")
 
@@ -372,7 +372,7 @@ def _(spark, d):
     base = scratch(spark, "events")
     raw = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
     live = raw.select(F.col("ts").cast("timestamp").alias("ts"), "user_id", (F.col("event_type") != "error").alias("success"))
-    counts = ingest.event_windows(live, "3 days", "1 day", "60 days")
+    counts = ingest.event_windows(live, "3 days", "1 day", late="60 days")
     ingest.event_stream(counts, f"{base}/out", f"{base}/ckpt").awaitTermination()
     now = ingest.latest(spark, f"{base}/out", ["window_start", "window_end", "user_id"])
     return ingest.live_lockouts(now, 2).select(F.col("window_start").cast("string").alias("window_start"), "user_id", "events", "failures")

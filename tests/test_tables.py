@@ -166,8 +166,27 @@ def test_stream_takes_only_new_files(spark, folder):
     part = next(p for p in os.listdir(f"{folder}/p1") if p.endswith(".parquet"))
     shutil.copy(f"{folder}/p1/{part}", f"{src}/a.parquet")
     for want in (5, 5):
-        ingest.ingest_stream(spark, src, one.schema, out, ck, key=["id"]).awaitTermination()
+        ingest.ingest_stream(spark, src, one.schema, out, ck).awaitTermination()
         assert spark.read.parquet(out).count() == want
     shutil.copy(f"{folder}/p1/{part}", f"{src}/b.parquet")
-    ingest.ingest_stream(spark, src, one.schema, out, ck, key=["id"]).awaitTermination()
+    ingest.ingest_stream(spark, src, one.schema, out, ck).awaitTermination()
     assert spark.read.parquet(out).groupBy("source_file").count().count() == 2
+
+
+def test_cama_csv_skips_the_same_lines_for_any_columns(spark, tmp_path):
+    from propspark.sources.io import read_cama_csv
+
+    (tmp_path / "roll.csv").write_text('a,b,c\n1,2,3\n4,5\n6,7,8,9\n"x,y",1,2\n')
+    rows = read_cama_csv(spark, str(tmp_path))
+    assert rows.count() == rows.select("a").count() == len(rows.collect()) == len(rows.select("c").collect()) == 2
+
+
+def test_cama_join_blank_ids_precedence_and_clashes(spark):
+    from propspark.operators import enrich
+
+    props = spark.createDataFrame([("", 1.0), ("N/A", 1.0), ("0", 1.0), ("12-3", 1.0), (None, 1.0)], "parcel_id string, ACREAGE double")
+    roll = spark.createDataFrame([("", "", 9.0, 1), ("N/A", None, 9.0, 2), ("77", "123", 8.0, 3), ("123", None, 7.0, 4)],
+                                 "PARID string, PCN string, ACREAGE double, row_no int")
+    got = {r.parcel_id: r for r in enrich.cama_join(props, roll, ["row_no"]).collect()}
+    assert len(got) == 5 and [i for i, r in got.items() if r.status is None] == ["12-3"]
+    assert got["12-3"].roll_ACREAGE == 7.0 and got["12-3"].ACREAGE == 1.0
