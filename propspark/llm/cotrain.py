@@ -1,23 +1,25 @@
 """Quality classification by co-training.
 
 Two logistic classifiers see different views of a document: its text (shape measures and marker words) and its metadata
-(source, language, length). In every round each labels the unlabelled documents it is sure of for the other. At the end
-a third logistic model, fitted on labelled documents that neither saw, calibrates and combines the two, and every
-document is scored. A document is good if its label has quality 1 and toxic 0.
+(source, language, length). Both are fitted to the labelled documents; then, in every round, each labels the unlabelled
+documents that it is sure of for the other, and both are fitted again. At the end a third logistic model, fitted on
+labelled documents that neither saw, calibrates and combines the two, and every document is scored. A document is good
+if its label has quality 1 and toxic 0.
 
-The classifiers are fitted on at most ``LABELLED`` labelled and ``POOL`` unlabelled documents, chosen by a hash of their
-ids; marker words are counted over the same labelled documents. Everything else covers all documents.
+The classifiers are fitted on all labelled and all unlabelled documents: every Newton step is one pass over the stored
+features (some 130 bytes a document), of which each task returns sums of a fixed size. Only the choice of marker words
+looks at a sample, of at most ``LABELLED`` labelled documents, chosen by a hash of their ids.
 
 Defined results: a null text is empty; null metadata are a value of their own; a document with several labels is good
 if all of them say so, null labels are left out; without both good and bad labels every document has the score 1 and is
-kept; rows that repeat a doc_id each get a row; an empty table gives an empty result.
+kept; rows that repeat a doc_id each get a row and each count; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,80 +27,57 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from propspark.llm.common import stored, text_of
 
-LABELLED = 10_000
-POOL = 10_000
-BLOCK = 2048
+LABELLED = 20_000
 ROUNDS = 3
 SURE = 0.98
 MARKERS = 400
 MARKER_LEAST = 5
 META_BUCKETS = 128
+SHAPE = 12
+SUMS = 16  # tasks that add up the sums of all others
+STEPS = 25
 
 _WORD = re.compile(r"\w+")
 _SYMBOL = re.compile(r"[^\w\s.,;:'\"()-]")
 
 
-def text_features(text: str, markers: dict[str, int]) -> np.ndarray:
-    """Shape measures, then one presence bit per marker word."""
-    shape = 12
-    out = np.zeros(shape + len(markers), np.float32)
+def text_features(text: str, markers: dict[str, int]) -> tuple[bytes, bytes]:
+    """Shape measures, and one presence bit per marker word."""
     tokens = text.split()
     n = max(1, len(tokens))
     words = _WORD.findall(text.lower())
     distinct = set(words)
     lines = [x for x in text.split("\n") if x.strip()]
-    letters = max(1, sum(map(len, words)))
-    out[:shape] = (
+    shape = (
         1.0, np.log1p(len(tokens)) / 10, len(set(tokens)) / n, sum(a == b for a, b in zip(tokens, tokens[1:])) / n,
-        min(5.0, len(text) / n / 10), len(_SYMBOL.findall(text)) / n, min(1.0, sum(c.isupper() for c in text[:20000]) / min(letters, 20000)),
-        sum(c.isdigit() for c in text[:20000]) / max(1, min(len(text), 20000)), text.count("|") / n, 1 - len(set(lines)) / max(1, len(lines)),
+        min(5.0, len(text) / n / 10), len(_SYMBOL.findall(text)) / n, sum(map(str.isupper, text)) / max(1, sum(map(len, words))),
+        sum(map(str.isdigit, text)) / max(1, len(text)), text.count("|") / n, 1 - len(set(lines)) / max(1, len(lines)),
         len(distinct) / max(1, len(words)), len(lines) / n)
-    for word in markers.keys() & distinct:
-        out[shape + markers[word]] = 1.0
-    return out
-
-
-def meta_features(source: str | None, lang: str | None, n_chars: int) -> np.ndarray:
-    out = np.zeros(1 + META_BUCKETS, np.float32)
-    out[0] = 1.0
-    for part in (f"s{source}", f"l{lang}", f"n{int(np.log2(n_chars + 1))}"):
-        out[1 + zlib.crc32(part.encode("utf-8", "surrogatepass")) % META_BUCKETS] = 1.0
-    return out
-
-
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
-    """Ridge logistic regression by Newton steps, summed over blocks of rows; the first column is the constant and is not
-    shrunk."""
-    w = np.zeros(x.shape[1])
-    shrink = np.full(x.shape[1], ridge)
-    shrink[0] = 1e-6
-    for _ in range(rounds):
-        slope, bend = shrink * w, np.diag(shrink)
-        for at in range(0, len(x), BLOCK):
-            part = x[at:at + BLOCK].astype(np.float64)
-            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
-            slope = slope + part.T @ (p - y[at:at + BLOCK])
-            bend = bend + (part * (p * (1 - p) + 1e-6)[:, None]).T @ part
-        step = np.linalg.solve(bend, slope)
-        w -= step
-        if np.abs(step).max() < 1e-6:
-            break
-    return w
+    marks = np.zeros(MARKERS, np.uint8)
+    marks[[markers[word] for word in markers.keys() & distinct]] = 1
+    return np.asarray(shape, np.float32).tobytes(), np.packbits(marks).tobytes()
 
 
-def _features(docs: DataFrame, markers: dict[str, int]) -> DataFrame:
-    """``docs`` (doc_id, text, source, lang and others) with both views as binary columns; text is dropped."""
-    rest = [f for f in docs.schema.fields if f.name not in ("text",)]
+def meta_features(source: str | None, lang: str | None, n_chars: int) -> bytes:
+    """The buckets of source, language and order of length."""
+    return bytes(zlib.crc32(part.encode("utf-8", "surrogatepass")) % META_BUCKETS
+                 for part in (f"s{source}", f"l{lang}", f"n{int(np.log2(n_chars + 1))}"))
+
+
+def views(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """Both views of stored features as matrices; the first columns are the constant."""
+    n = batch.num_rows
+    shape, marks, meta = (b"".join(batch.column(c).to_pylist()) for c in ("shape", "marks", "meta"))
+    bits = np.unpackbits(np.frombuffer(marks, np.uint8).reshape(n, -1), axis=1)[:, :MARKERS]
+    one = np.concatenate([np.frombuffer(shape, np.float32).reshape(n, SHAPE), bits.astype(np.float32)], axis=1)
+    two = np.zeros((n, 1 + META_BUCKETS), np.float32)
+    two[:, 0] = 1.0
+    two[np.arange(n)[:, None], 1 + np.frombuffer(meta, np.uint8).reshape(n, 3).astype(int)] = 1.0
+    return [one, two]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column("text").to_pylist()
-            one = [text_features(t, markers).tobytes() for t in texts]
-            two = [meta_features(s, g, len(t)).tobytes() for s, g, t in zip(b.column("source").to_pylist(), b.column("lang").to_pylist(), texts)]
-            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in rest), pa.array(one, pa.binary()), pa.array(two, pa.binary())],
-                                             [*(f.name for f in rest), "view1", "view2"])
 
-    return docs.mapInArrow(run, T.StructType([*rest, T.StructField("view1", T.BinaryType()), T.StructField("view2", T.BinaryType())]))
+def squash(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def _inputs(docs: DataFrame) -> DataFrame:
@@ -108,55 +87,115 @@ def _inputs(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text_of(docs).alias("text"), named("source"), named("lang"))
 
 
-def _matrix(rows: list, name: str) -> np.ndarray:
-    return np.frombuffer(b"".join(r[name] for r in rows), np.float32).reshape(len(rows), -1)
+def with_features(docs: DataFrame, markers: dict[str, int]) -> DataFrame:
+    """doc_id with shape, marks and meta: one pass over the texts."""
+    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, T.BinaryType()) for c in ("shape", "marks", "meta"))])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            shape, marks, meta = [], [], []
+            for text, source, lang in zip(b.column("text"), b.column("source"), b.column("lang")):
+                t = text.as_py()
+                for to, data in zip((shape, marks), text_features(t, markers)):
+                    to.append(data)
+                meta.append(meta_features(source.as_py(), lang.as_py(), len(t)))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, pa.binary()) for x in (shape, marks, meta))], schema.names)
 
-def train(docs: DataFrame, labels: DataFrame) -> dict | None:
-    """The fitted models, or None where the labels have only one class."""
-    good = (labels.where("doc_id is not null and quality is not null").groupBy("doc_id")
-            .agg(F.min(F.when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), 1).otherwise(0)).alias("good")))
+    return _inputs(docs).mapInArrow(run, schema)
+
+
+def fit_logistic(rows: DataFrame, cases: Callable[[pa.RecordBatch], list[tuple[np.ndarray, np.ndarray]]], widths: list[int],
+                 ridge: float = 1.0) -> list[np.ndarray]:
+    """Weights of several ridge logistic regressions by Newton steps; ``cases`` gives each one's matrix and targets in a
+    batch. The first columns are the constants and are not shrunk. Tasks return sums, never rows."""
+    weights, shrink = [np.zeros(n) for n in widths], [np.where(np.arange(n) == 0, 1e-6, ridge) for n in widths]
+    cut = np.cumsum([n + n * n for n in widths])
+    kind = "sums binary"
+
+    def slopes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [(np.zeros(n), np.zeros((n, n))) for n in widths]
+        for b in batches:
+            for (slope, bend), w, (x, y) in zip(sums, weights, cases(b)):
+                p = squash(x @ w.astype(np.float32))
+                slope += (p - y) @ x
+                half = x * np.sqrt(p * (1 - p) + 1e-6)[:, None].astype(np.float32)
+                bend += half.T @ half
+        yield pa.RecordBatch.from_arrays([pa.array([b"".join(a.tobytes() for s in sums for a in s)], pa.binary())], ["sums"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(cut[-1])
+        for b in batches:
+            for part in b.column(0):
+                out += np.frombuffer(part.as_buffer())
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["sums"])
+
+    for _ in range(STEPS):
+        found = rows.mapInArrow(slopes, kind).repartition(SUMS).mapInArrow(total, kind).collect()  # SUMS rows of fixed size
+        moved = 0.0
+        for i, part in enumerate(np.split(sum(np.frombuffer(r["sums"]) for r in found), cut[:-1])):
+            n = widths[i]
+            step = np.linalg.solve(part[n:].reshape(n, n) + np.diag(shrink[i]), part[:n] + shrink[i] * weights[i])
+            weights[i] = weights[i] - step
+            moved = max(moved, np.abs(step).max())
+        if moved < 1e-4:
+            break
+    return weights
+
+
+def marker_words(docs: DataFrame, good: DataFrame) -> dict[str, int]:
+    """The words whose presence tells good from bad labelled documents best, numbered."""
     rank = F.xxhash64(F.col("doc_id"), F.lit("sample"))
-    base = _inputs(docs)
-    known = base.select("doc_id").join(good, "doc_id").distinct().orderBy(rank, "doc_id").limit(LABELLED)
-    unknown = base.select("doc_id").join(good, "doc_id", "left_anti").where("doc_id is not null").distinct().orderBy(rank, "doc_id").limit(POOL)
-    chosen = stored(known.unionByName(unknown.withColumn("good", F.lit(None).cast("int"))))  # at most LABELLED + POOL rows
-    sample = stored(base.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(5))))
-    seen = sample.where("good is not null and fold > 0")
-    words = seen.select("good", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}\\p{N}_]+"), F.lit(0)))).alias("word"))
-    sizes = {r["good"]: r["n"] for r in seen.groupBy("good").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(sizes) < 2:
-        return None
+    chosen = stored(docs.select("doc_id").join(good.where("fold > 0"), "doc_id").select("doc_id", "good").distinct()
+                    .orderBy(rank, "doc_id").limit(LABELLED))
+    sizes = {r["good"]: r["n"] for r in chosen.groupBy("good").agg(F.count(F.lit(1)).alias("n")).collect()}
+    listed = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}\\p{N}_]+"), F.lit(0)))
+    words = _inputs(docs).join(F.broadcast(chosen), "doc_id").select("good", F.explode(listed).alias("word"))  # at most LABELLED ids
     rate = lambda c, n: F.log((F.col(c) + 0.5) / F.lit(n + 1.0))
     odds = (words.groupBy("word").agg(F.sum("good").alias("pos"), F.sum(1 - F.col("good")).alias("neg"))
             .where(F.col("pos") + F.col("neg") >= MARKER_LEAST)
-            .select("word", (F.abs(rate("pos", sizes[1]) - rate("neg", sizes[0])) * F.sqrt(F.col("pos") + F.col("neg"))).alias("gain")))
-    markers = {r["word"]: i for i, r in enumerate(odds.orderBy(F.desc("gain"), "word").limit(MARKERS).collect())}
-    rows = _features(sample, markers).drop("source", "lang").collect()  # at most LABELLED + POOL rows of fixed width
-    fit = [r for r in rows if r["good"] is not None and r["fold"] > 0]
-    held = [r for r in rows if r["good"] is not None and r["fold"] == 0]
-    pool = [r for r in rows if r["good"] is None]
-    views = ("view1", "view2")
-    xs = [_matrix(fit, v) for v in views]
-    pools = [_matrix(pool, v) if pool else None for v in views]
-    y = np.array([r["good"] for r in fit], np.float64)
-    pseudo = [np.full(len(pool), np.nan) for _ in views]  # labels that the other view gave
-    for turn in range(ROUNDS + 1):
-        weights = []
-        for v in range(2):
-            use = ~np.isnan(pseudo[v]) if len(pool) else np.zeros(0, bool)
-            x = np.concatenate([xs[v], pools[v][use]]) if use.any() else xs[v]
-            weights.append(fit_logistic(x, np.concatenate([y, pseudo[v][use]]) if use.any() else y))
-        if turn == ROUNDS or not len(pool):
-            break
-        for v in range(2):
-            p = 1 / (1 + np.exp(-np.clip(pools[v] @ weights[v], -30, 30)))
-            fresh = np.isnan(pseudo[1 - v])
-            sure = fresh & ((p >= SURE) | (p <= 1 - SURE))
-            pseudo[1 - v][sure] = (p[sure] >= 0.5).astype(float)
-    check = held if len({r["good"] for r in held}) == 2 else fit
-    scores = np.stack([np.ones(len(check)), *(np.clip(_matrix(check, v) @ w, -15, 15) for v, w in zip(views, weights))], axis=1)
-    return {"markers": markers, "weights": weights, "mix": fit_logistic(scores, np.array([r["good"] for r in check], float), 0.1)}
+            .select("word", (F.abs(rate("pos", sizes.get(1, 0)) - rate("neg", sizes.get(0, 0))) * F.sqrt(F.col("pos") + F.col("neg"))).alias("gain")))
+    return {r["word"]: i for i, r in enumerate(odds.orderBy(F.desc("gain"), "word").limit(MARKERS).collect())}
+
+
+def train(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[np.ndarray], np.ndarray] | None:
+    """The stored features of all documents, the weights of both views and those of their combination, or None where the
+    labels have only one class."""
+    good = (labels.where("doc_id is not null and quality is not null").groupBy("doc_id")
+            .agg(F.min(F.when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), 1).otherwise(0)).alias("good"))
+            .withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(5)).cast("int")))
+    marked = with_features(docs, marker_words(docs, good))
+    rows = stored(marked.join(good, "doc_id", "left"))
+    seen = {(r["held"], r["good"]) for r in rows.where("good is not null").select((F.col("fold") == 0).alias("held"), "good").distinct().collect()}
+    if {(False, 0), (False, 1)} - seen:
+        return None
+    names, widths = ["shape", "marks", "meta", "good", "fold"], [SHAPE + MARKERS, 1 + META_BUCKETS]
+
+    def labelled(b: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
+        y = b.column("good").to_numpy(zero_copy_only=False).astype(np.float64)
+        return [(x, y) for x in views(b)]
+
+    weights = fit_logistic(rows.where("good is not null and fold > 0").select(*names), labelled, widths)
+    for _ in range(ROUNDS):
+        teachers = [w.copy() for w in weights]
+
+        def taught(b: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
+            """Labelled rows, and those that the other view's classifier was sure of."""
+            y, xs = b.column("good").to_numpy(zero_copy_only=False).astype(np.float64), views(b)
+            out = []
+            for v in range(2):
+                p = squash(xs[1 - v] @ teachers[1 - v])
+                use = ~np.isnan(y) | (p >= SURE) | (p <= 1 - SURE)
+                out.append((xs[v][use], np.where(np.isnan(y), p >= 0.5, y)[use]))
+            return out
+
+        weights = fit_logistic(rows.where("good is null or fold > 0").select(*names), taught, widths)
+
+    def held(b: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
+        z = [np.clip(x @ w, -15, 15) for x, w in zip(views(b), weights)]
+        return [(np.stack([np.ones(b.num_rows), *z], axis=1).astype(np.float32), b.column("good").to_numpy(zero_copy_only=False).astype(np.float64))]
+
+    check = "fold = 0" if {(True, 0), (True, 1)} <= seen else "fold > 0"
+    return rows, weights, fit_logistic(rows.where(f"good is not null and {check}").select(*names), held, [3], 0.1)[0]
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -165,23 +204,17 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = train(docs, labels)
     if model is None:
         return docs.select("doc_id", *(F.lit(1.0).alias(c) for c in ("text_score", "meta_score", "score")), F.lit(True).alias("keep"))
-    kind = docs.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("doc_id", kind), *(T.StructField(c, T.DoubleType()) for c in ("text_score", "meta_score", "score")),
+    rows, weights, mix = model
+    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, T.DoubleType()) for c in ("text_score", "meta_score", "score")),
                            T.StructField("keep", T.BooleanType())])
-    squash = lambda z: 1 / (1 + np.exp(-z))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            z = []
-            for text, source, lang in zip(b.column("text"), b.column("source"), b.column("lang")):
-                t = text.as_py()
-                z.append((float(text_features(t, model["markers"]) @ model["weights"][0]),
-                          float(meta_features(source.as_py(), lang.as_py(), len(t)) @ model["weights"][1])))
-            z = np.clip(np.array(z, float).reshape(-1, 2), -15, 15)
-            score = squash(model["mix"][0] + z @ model["mix"][1:])
+            z = np.stack([np.clip(x @ w, -15, 15) for x, w in zip(views(b), weights)], axis=1)
+            score = squash(mix[0] + z @ mix[1:])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, (squash(z[:, 0]), squash(z[:, 1]), score, score >= 0.5))], schema.names)
 
-    return _inputs(docs).mapInArrow(run, schema)
+    return rows.select("doc_id", "shape", "marks", "meta").mapInArrow(run, schema)
 
 
 def accept(docs: DataFrame, labels: DataFrame) -> DataFrame:
