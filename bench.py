@@ -25,7 +25,8 @@ def main() -> None:
     from propspark.session import build_session
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    spark = build_session("bench", cores=os.environ.get("BENCH_CPUS", "8"))
+    cores = os.environ.get("BENCH_CPUS", "8")
+    spark = build_session("bench", cores=cores, shuffle_partitions=int(cores), memory="12g")
     spark.sparkContext.setLogLevel("ERROR")
     chosen = sys.argv[1:] or HEADLINE
     n_rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()

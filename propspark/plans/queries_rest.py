@@ -375,7 +375,17 @@ def _(spark, d):
     counts = ingest.event_windows(live, "3 days", "1 day", late="60 days")
     ingest.event_stream(counts, f"{base}/out", f"{base}/ckpt").awaitTermination()
     now = ingest.latest(spark, f"{base}/out", ["window_start", "window_end", "user_id"])
-    return ingest.live_lockouts(now, 2).select(F.col("window_start").cast("string").alias("window_start"), "user_id", "events", "failures")
+    return ingest.failing_windows(now, 2).select(F.col("window_start").cast("string").alias("window_start"), "user_id", "events", "failures")
+
+
+@query("str2_lockouts", A + """, f AS (SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '604799.999999 seconds' PRECEDING AND CURRENT ROW) AS failures
+ FROM audit WHERE NOT success) SELECT * FROM f WHERE failures>=5""")
+def _(spark, d):
+    base = scratch(spark, "lockouts")
+    raw = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    live = raw.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", (F.col("event_type") != "error").alias("success"))
+    ingest.lockout_stream(live, f"{base}/out", f"{base}/ckpt", WEEK, 5).awaitTermination()
+    return ingest.live_lockouts(spark, f"{base}/out").select("event_id", "user_id", "failures")
 
 
 @query("udf1_map_chunks", P + "SELECT rid, round(building_sqft/1000,6) AS thousands FROM props")

@@ -2,31 +2,29 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import SparkSession
 
 
-def build_session(app: str = "propspark", cores: str | int = "*", shuffle_partitions: int | None = None,
-                  memory: str = "12g") -> SparkSession:
-    """Local session with the settings the library expects on a cluster too.
-
-    AQE chooses the post-shuffle partition count, so ``shuffle_partitions`` is only the upper bound.
+def build_session(app: str = "propspark", cores: str | int | None = None, shuffle_partitions: int | None = None,
+                  memory: str | None = None) -> SparkSession:
+    """Session with the settings the library expects everywhere. Master, memory and the number of shuffle partitions are
+    the cluster's own unless they are given; ``cores`` asks for a local session.
     """
-    parts = shuffle_partitions or (int(cores) if str(cores).isdigit() else (os.cpu_count() or 8))
-    return (
+    builder = (
         SparkSession.builder.appName(app)
-        .master(f"local[{cores}]")
-        .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", memory)
-        .config("spark.ui.enabled", "false")
-        .getOrCreate()
     )
+    if cores is not None:
+        builder = builder.master(f"local[{cores}]").config("spark.ui.enabled", "false")
+    if shuffle_partitions is not None:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if memory is not None:
+        builder = builder.config("spark.driver.memory", memory)
+    return builder.getOrCreate()
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

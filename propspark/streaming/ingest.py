@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from propspark.operators.events import lockouts
+
 
 def ingest_stream(spark: SparkSession, folder: str, schema: StructType, out: str, checkpoint: str, fmt: str = "parquet",
                   transform: Callable[[DataFrame], DataFrame] | None = None, pattern: str = "*",
@@ -54,6 +56,34 @@ def latest(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(*[F.max_by(c, "batch_id").alias(c) for c in values])
 
 
-def live_lockouts(counts: DataFrame, attempts: int = 5) -> DataFrame:
-    """STR-2: windows in which a user reached the failure limit."""
+def failing_windows(counts: DataFrame, attempts: int = 5) -> DataFrame:
+    """STR-2: windows in which a user reached the failure limit. Failures across a window's border are not seen together;
+    :func:`lockout_stream` sees them."""
     return counts.where(F.col("failures") >= attempts)
+
+
+def lockout_stream(events: DataFrame, out: str, checkpoint: str, minutes: int = 15, attempts: int = 5):
+    """STR-2: the failures at which an account is locked, by the failures of the ``minutes`` up to each, as they arrive.
+
+    Failures are kept in a table, a folder per batch that a retry overwrites. A batch looks at those around its own
+    times, so late and early events count as in :func:`events.lockouts` over the whole table.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark, near = batch.sparkSession, F.expr(f"INTERVAL {int(minutes)} MINUTES")
+        own = f"{out}/failures/batch_id={batch_id}"
+        batch.where(~F.col("success")).write.mode("overwrite").parquet(own)
+        first, last = spark.read.parquet(own).agg(F.min("ts"), F.max("ts")).first()
+        if first is None:
+            return
+        kept = spark.read.parquet(f"{out}/failures").where(F.col("batch_id") <= batch_id)
+        around = kept.where(F.col("ts").between(F.lit(first) - near, F.lit(last) + near))
+        found = lockouts(around.drop("batch_id"), minutes, attempts).where(F.col("ts") >= F.lit(first))
+        found.write.mode("overwrite").parquet(f"{out}/lockouts/batch_id={batch_id}")
+
+    return (events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
+def live_lockouts(spark: SparkSession, out: str, key: str = "event_id") -> DataFrame:
+    """STR-2: the lockouts that :func:`lockout_stream` has found, with the newest count of each."""
+    return latest(spark, f"{out}/lockouts", [key])

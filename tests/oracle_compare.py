@@ -72,7 +72,7 @@ def main(argv):
 
     sf = argv[0] if argv else "0.01"
     sf_dir = f"/root/testdata/sf{sf}"
-    spark = build_session("compare", cores=8)
+    spark = build_session("compare", cores=8, shuffle_partitions=8, memory="12g")
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf_dir)
     sqls = entry.oracle_sql()

@@ -190,3 +190,27 @@ def test_cama_join_blank_ids_precedence_and_clashes(spark):
     got = {r.parcel_id: r for r in enrich.cama_join(props, roll, ["row_no"]).collect()}
     assert len(got) == 5 and [i for i, r in got.items() if r.status is None] == ["12-3"]
     assert got["12-3"].roll_ACREAGE == 7.0 and got["12-3"].ACREAGE == 1.0
+
+
+def test_live_lockouts_across_batches(spark, tmp_path):
+    from propspark.operators import events as ev
+    from propspark.streaming import ingest
+
+    rows = [(i, f"2024-01-01 10:{m:02d}:00", u, ok) for i, (m, u, ok) in enumerate(
+        [(4, "a", False), (8, "a", False), (10, "a", False), (13, "a", False), (17, "a", False), (18, "a", True), (40, "b", False), (50, "a", False)])]
+    made = spark.createDataFrame(rows, "event_id long, ts string, user_id string, success boolean").withColumn("ts", F.to_timestamp("ts"))
+    want = sorted(ev.lockouts(made, 15, 5).select("event_id", "failures").collect())
+    assert [tuple(r) for r in want] == [(4, 5)]
+    for part in ("event_id in (0, 1, 4)", "event_id in (2, 5, 6)", "event_id in (3, 7)"):  # the one in the middle comes last
+        made.where(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        live = spark.readStream.schema(made.schema).parquet(str(tmp_path / "in"))
+        ingest.lockout_stream(live, str(tmp_path / "out"), str(tmp_path / "ckpt"), 15, 5).awaitTermination()
+    assert sorted(ingest.live_lockouts(spark, str(tmp_path / "out")).select("event_id", "failures").collect()) == want
+
+
+def test_lookup_join_refuses_joins_that_keep_right_rows(spark):
+    from propspark.functions.skew import lookup_join
+
+    one = spark.range(3)
+    with pytest.raises(ValueError):
+        lookup_join(one, one, ["id"], "full_outer")
