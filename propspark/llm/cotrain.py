@@ -1,6 +1,7 @@
 """Quality classification by co-training.
 
-Two logistic classifiers see different views of a document: its text (shape measures and marker words) and its metadata
+Two logistic classifiers see different views of a document: its text (shape measures, marker words and how many words
+begin like a marker) and its metadata
 (source, language, length). Both are fitted to the labelled documents; then, in every round, each labels the unlabelled
 documents that it is sure of for the other, and both are fitted again. At the end a third logistic model, fitted on
 labelled documents that neither saw, calibrates and combines the two, and every document is scored. A document is good
@@ -19,7 +20,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,8 @@ ROUNDS = 3
 SURE = 0.98
 MARKERS = 400
 MARKER_LEAST = 5
+STEMS = range(3, 8)  # lengths of the word beginnings that can be markers
+HELD_MARKS = 500_000
 META_BUCKETS = 128
 SHAPE = 12
 SUMS = 16  # tasks that add up the sums of all others
@@ -41,8 +45,17 @@ _WORD = re.compile(r"\w+")
 _SYMBOL = re.compile(r"[^\w\s.,;:'\"()-]")
 
 
-def text_features(text: str, markers: dict[str, int]) -> tuple[bytes, bytes]:
-    """Shape measures, and one presence bit per marker word."""
+def marks_of(words: Iterable[str]) -> set[str]:
+    """Distinct words, and their beginnings with one, two and three stars where as many of the words begin so."""
+    marks = set(words)
+    begins = Counter(word[:k] for word in marks for k in STEMS if len(word) > k)
+    for stem, n in begins.items():
+        marks.update(stem + "*" * stars for stars in range(1, min(n, 3) + 1))
+    return marks
+
+
+def text_features(text: str, markers: dict[str, int], heads: set[str]) -> tuple[bytes, bytes]:
+    """Shape measures, and one presence bit per marker. ``heads`` are the first letters of the markers."""
     tokens = text.split()
     n = max(1, len(tokens))
     words = _WORD.findall(text.lower())
@@ -54,7 +67,8 @@ def text_features(text: str, markers: dict[str, int]) -> tuple[bytes, bytes]:
         sum(map(str.isdigit, text)) / max(1, len(text)), text.count("|") / n, 1 - len(set(lines)) / max(1, len(lines)),
         len(distinct) / max(1, len(words)), len(lines) / n)
     marks = np.zeros(MARKERS, np.uint8)
-    marks[[markers[word] for word in markers.keys() & distinct]] = 1
+    found = marks_of(word for word in distinct if word[:STEMS[0]] in heads)
+    marks[[markers[mark] for mark in markers.keys() & found]] = 1
     return np.asarray(shape, np.float32).tobytes(), np.packbits(marks).tobytes()
 
 
@@ -90,13 +104,14 @@ def _inputs(docs: DataFrame) -> DataFrame:
 def with_features(docs: DataFrame, markers: dict[str, int]) -> DataFrame:
     """doc_id with shape, marks and meta: one pass over the texts."""
     schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, T.BinaryType()) for c in ("shape", "marks", "meta"))])
+    heads = {mark[:STEMS[0]] for mark in markers}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             shape, marks, meta = [], [], []
             for text, source, lang in zip(b.column("text"), b.column("source"), b.column("lang")):
                 t = text.as_py()
-                for to, data in zip((shape, marks), text_features(t, markers)):
+                for to, data in zip((shape, marks), text_features(t, markers, heads)):
                     to.append(data)
                 meta.append(meta_features(source.as_py(), lang.as_py(), len(t)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, pa.binary()) for x in (shape, marks, meta))], schema.names)
@@ -143,16 +158,35 @@ def fit_logistic(rows: DataFrame, cases: Callable[[pa.RecordBatch], list[tuple[n
 
 
 def marker_words(docs: DataFrame, good: DataFrame) -> dict[str, int]:
-    """The words whose presence tells good from bad labelled documents best, numbered."""
+    """The words and beginnings of words (:func:`marks_of`) whose presence tells good from bad labelled documents best,
+    numbered. Of those that start and count alike one is taken."""
     rank = F.xxhash64(F.col("doc_id"), F.lit("sample"))
     chosen = stored(docs.select("doc_id").join(good.where("fold > 0"), "doc_id").select("doc_id", "good").distinct()
                     .orderBy(rank, "doc_id").limit(LABELLED))
     sizes = {r["good"]: r["n"] for r in chosen.groupBy("good").agg(F.count(F.lit(1)).alias("n")).collect()}
-    listed = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}\\p{N}_]+"), F.lit(0)))
-    words = _inputs(docs).join(F.broadcast(chosen), "doc_id").select("good", F.explode(listed).alias("word"))  # at most LABELLED ids
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Counter(), Counter()
+
+        def out() -> pa.RecordBatch:
+            found = list(held[0].keys() | held[1].keys())
+            return pa.RecordBatch.from_arrays(
+                [pa.array(found, pa.string()), *(pa.array([held[good][mark] for mark in found], pa.int64()) for good in (1, 0))], ["word", "pos", "neg"])
+
+        for b in batches:
+            for good, text in zip(b.column("good").to_pylist(), b.column("text")):
+                held[good].update(marks_of(_WORD.findall(text.as_py().lower())))
+                if sum(map(len, held)) > HELD_MARKS:
+                    yield out()
+                    held = Counter(), Counter()
+        yield out()
+
+    words = (_inputs(docs).join(F.broadcast(chosen), "doc_id").select("good", "text")  # at most LABELLED ids
+             .mapInArrow(counted, "word string, pos long, neg long"))
     rate = lambda c, n: F.log((F.col(c) + 0.5) / F.lit(n + 1.0))
-    odds = (words.groupBy("word").agg(F.sum("good").alias("pos"), F.sum(1 - F.col("good")).alias("neg"))
+    odds = (words.groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
             .where(F.col("pos") + F.col("neg") >= MARKER_LEAST)
+            .groupBy("pos", "neg", F.substring("word", 1, STEMS[0])).agg(F.min("word").alias("word"))
             .select("word", (F.abs(rate("pos", sizes.get(1, 0)) - rate("neg", sizes.get(0, 0))) * F.sqrt(F.col("pos") + F.col("neg"))).alias("gain")))
     return {r["word"]: i for i, r in enumerate(odds.orderBy(F.desc("gain"), "word").limit(MARKERS).collect())}
 
