@@ -38,7 +38,7 @@ STEMS = range(3, 8)  # lengths of the word beginnings that can be markers
 HELD_MARKS = 500_000
 META_BUCKETS = 128
 SHAPE = 12
-SUMS = 16  # tasks that add up the sums of all others
+SUMS = 16  # tasks that add up the sums of all others; one more adds up theirs
 STEPS = 25
 
 _WORD = re.compile(r"\w+")
@@ -145,7 +145,7 @@ def fit_logistic(rows: DataFrame, cases: Callable[[pa.RecordBatch], list[tuple[n
         yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["sums"])
 
     for _ in range(STEPS):
-        found = rows.mapInArrow(slopes, kind).repartition(SUMS).mapInArrow(total, kind).collect()  # SUMS rows of fixed size
+        found = rows.mapInArrow(slopes, kind).repartition(SUMS).mapInArrow(total, kind).repartition(1).mapInArrow(total, kind).collect()  # one row of fixed size
         moved = 0.0
         for i, part in enumerate(np.split(sum(np.frombuffer(r["sums"]) for r in found), cut[:-1])):
             n = widths[i]
