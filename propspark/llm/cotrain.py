@@ -55,7 +55,7 @@ def marks_of(words: Iterable[str]) -> set[str]:
 
 
 def text_features(text: str, markers: dict[str, int], heads: set[str]) -> tuple[bytes, bytes]:
-    """Shape measures, and one presence bit per marker. ``heads`` are the first letters of the markers."""
+    """Shape measures, and one presence bit per marker. ``heads`` are the first letters of the markers with stars."""
     tokens = text.split()
     n = max(1, len(tokens))
     words = _WORD.findall(text.lower())
@@ -68,7 +68,7 @@ def text_features(text: str, markers: dict[str, int], heads: set[str]) -> tuple[
         len(distinct) / max(1, len(words)), len(lines) / n)
     marks = np.zeros(MARKERS, np.uint8)
     found = marks_of(word for word in distinct if word[:STEMS[0]] in heads)
-    marks[[markers[mark] for mark in markers.keys() & found]] = 1
+    marks[[markers[mark] for mark in markers.keys() & (distinct | found)]] = 1
     return np.asarray(shape, np.float32).tobytes(), np.packbits(marks).tobytes()
 
 
@@ -104,7 +104,7 @@ def _inputs(docs: DataFrame) -> DataFrame:
 def with_features(docs: DataFrame, markers: dict[str, int]) -> DataFrame:
     """doc_id with shape, marks and meta: one pass over the texts."""
     schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, T.BinaryType()) for c in ("shape", "marks", "meta"))])
-    heads = {mark[:STEMS[0]] for mark in markers}
+    heads = {mark[:STEMS[0]] for mark in markers if mark.endswith("*")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
