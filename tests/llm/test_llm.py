@@ -135,6 +135,52 @@ def test_simhash_links(spark, monkeypatch, rows):
     assert [got.get(i, i) for i in range(len(values))] == brute_roots(values, 2)
 
 
+def brute_kept(rows, least=0.8, size=5):
+    """Kept ids of (doc_id, text): all pairs that share a shingle, compared as sets of shingles."""
+    sets, holders = {}, defaultdict(list)
+    for i, text in rows:
+        words = text.encode().lower().split()
+        sets[i] = {tuple(words[k:k + size]) for k in range(max(1, len(words) - size + 1))}
+        for s in sets[i]:
+            holders[s].append(i)
+    root = {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    shared = Counter((a, b) for ids in holders.values() for k, a in enumerate(ids) for b in ids[k + 1:])
+    for (a, b), n in shared.items():
+        if n / (len(sets[a]) + len(sets[b]) - n) >= least:
+            a, b = sorted((top(a), top(b)))
+            root[b] = a
+    return {i for i in sets if top(i) == i}
+
+
+def test_keep_one_is_exact(spark):
+    given = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = sorted((r.doc_id, r.text) for r in given.collect())
+    assert {r.doc_id for r in simhash.keep_one(given).collect()} == brute_kept(rows)
+
+
+@pytest.mark.parametrize("rows", [simhash.TILE_ROWS, 4])
+def test_keep_one_on_both_sides_of_the_similarity(spark, monkeypatch, rows):
+    monkeypatch.setattr(simhash, "TILE_ROWS", rows)
+    rng = np.random.default_rng(5)
+    made = []
+    for base in range(6):
+        words = [f"b{base}w{k}" for k in range(int(rng.integers(6, 150)))]
+        for copy in range(20):
+            cut = len(words) - int(rng.integers(0, 1 + len(words) // 2)) if copy % 2 else len(words)
+            tail = [f"c{base}x{copy}x{k}" for k in range(int(rng.integers(0, 1 + len(words) // 5)))]
+            made.append((len(made), " ".join(words[:cut] + tail)))
+    # One shingle that is most of the repeats decides no fingerprint of distinct shingles.
+    made += [(1000 + k, "a " * 400 + " ".join(f"r{k}s{n}" for n in range(40))) for k in range(3)]
+    table = spark.createDataFrame(made, "doc_id long, text string")
+    assert {r.doc_id for r in simhash.keep_one(table).collect()} == brute_kept(made)
+
+
 def test_shard(docs, none):
     leaves = shard.tree()
     rows = shard.assign(docs, leaves).collect()
