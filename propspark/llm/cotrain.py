@@ -13,7 +13,8 @@ looks at a sample, of at most ``LABELLED`` labelled documents, chosen by a hash
 
 Defined results: a null text is empty; null metadata are a value of their own; a document with several labels is good
 if all of them say so, null labels are left out; without both good and bad labels every document has the score 1 and is
-kept; rows that repeat a doc_id each get a row and each count; an empty table gives an empty result.
+kept; rows that repeat a doc_id each get a row and each count; an empty table gives an empty result. Each row is kept or
+rejected for its own text and metadata, also where others have its doc_id or none.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from propspark.llm.common import stored, text_of
 
@@ -94,16 +95,23 @@ def squash(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _meta(docs: DataFrame, name: str) -> Column:
+    return F.col(name).cast("string") if name in docs.columns else F.lit(None).cast("string")
+
+
 def _inputs(docs: DataFrame) -> DataFrame:
-    def named(name: str):
-        return (F.col(name).cast("string") if name in docs.columns else F.lit(None).cast("string")).alias(name)
+    return docs.select("doc_id", text_of(docs).alias("text"), *(_meta(docs, name).alias(name) for name in ("source", "lang")))
 
-    return docs.select("doc_id", text_of(docs).alias("text"), named("source"), named("lang"))
+
+def _content(docs: DataFrame) -> Column:
+    """Hash of all that a decision depends on; a null and its neighbour's value are told apart."""
+    meta = [_meta(docs, name) for name in ("source", "lang")]
+    return F.xxhash64(text_of(docs), *(part for m in meta for part in (m.isNull(), m)))
 
 
 def with_features(docs: DataFrame, markers: dict[str, int]) -> DataFrame:
-    """doc_id with shape, marks and meta: one pass over the texts."""
-    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, T.BinaryType()) for c in ("shape", "marks", "meta"))])
+    """doc_id and content (:func:`_content`) with shape, marks and meta: one pass over the texts."""
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("content", T.LongType()), *(T.StructField(c, T.BinaryType()) for c in ("shape", "marks", "meta"))])
     heads = {mark[:STEMS[0]] for mark in markers if mark.endswith("*")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,9 +122,10 @@ def with_features(docs: DataFrame, markers: dict[str, int]) -> DataFrame:
                 for to, data in zip((shape, marks), text_features(t, markers, heads)):
                     to.append(data)
                 meta.append(meta_features(source.as_py(), lang.as_py(), len(t)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, pa.binary()) for x in (shape, marks, meta))], schema.names)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("content"), *(pa.array(x, pa.binary()) for x in (shape, marks, meta))], schema.names)
 
-    return _inputs(docs).mapInArrow(run, schema)
+    ins = _inputs(docs)
+    return ins.withColumn("content", _content(ins)).mapInArrow(run, schema)
 
 
 def fit_logistic(rows: DataFrame, cases: Callable[[pa.RecordBatch], list[tuple[np.ndarray, np.ndarray]]], widths: list[int],
@@ -232,26 +241,39 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[np.ndarra
     return rows, weights, fit_logistic(rows.where(f"good is not null and {check}").select(*names), held, [3], 0.1)[0]
 
 
-def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text_score and meta_score (of one view each), score (combined; all are probabilities of being good) and
-    keep (score of 0.5 or more) of every document."""
+def scored(docs: DataFrame, labels: DataFrame) -> DataFrame | None:
+    """The rows of :func:`classify` with their content, or None where the labels have only one class."""
     model = train(docs, labels)
     if model is None:
-        return docs.select("doc_id", *(F.lit(1.0).alias(c) for c in ("text_score", "meta_score", "score")), F.lit(True).alias("keep"))
+        return None
     rows, weights, mix = model
-    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, T.DoubleType()) for c in ("text_score", "meta_score", "score")),
-                           T.StructField("keep", T.BooleanType())])
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("content", T.LongType()),
+                           *(T.StructField(c, T.DoubleType()) for c in ("text_score", "meta_score", "score")), T.StructField("keep", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             z = np.stack([np.clip(x @ w, -15, 15) for x, w in zip(views(b), weights)], axis=1)
             score = squash(mix[0] + z @ mix[1:])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, (squash(z[:, 0]), squash(z[:, 1]), score, score >= 0.5))], schema.names)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("content"),
+                                              *map(pa.array, (squash(z[:, 0]), squash(z[:, 1]), score, score >= 0.5))], schema.names)
+
+    return rows.select("doc_id", "content", "shape", "marks", "meta").mapInArrow(run, schema)
 
-    return rows.select("doc_id", "shape", "marks", "meta").mapInArrow(run, schema)
+
+def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, text_score and meta_score (of one view each), score (combined; all are probabilities of being good) and
+    keep (score of 0.5 or more) of every document."""
+    found = scored(docs, labels)
+    if found is None:
+        return docs.select("doc_id", *(F.lit(1.0).alias(c) for c in ("text_score", "meta_score", "score")), F.lit(True).alias("keep"))
+    return found.drop("content")
 
 
 def accept(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the documents that :func:`classify` rejects; all columns stay."""
-    bad = classify(docs, labels).where("not keep").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti")
+    """``docs`` without the rows that :func:`classify` rejects; all columns stay. Rows of one doc_id and content have one
+    decision, all others have their own."""
+    found = scored(docs, labels)
+    if found is None:
+        return docs
+    bad = found.where("not keep").select(F.col("doc_id").alias("__id"), F.col("content").alias("__content")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__id")) & (_content(docs) == F.col("__content")), "left_anti")

@@ -303,6 +303,18 @@ def test_cotrain(spark, docs, none):
     assert cotrain.classify(none, labels).count() == 0
 
 
+def test_accept_decides_row_by_row(spark):
+    good, bad = "good words are here to read " * 3, "$$$ @@@ ### " * 20
+    rows = [(i, (bad if i % 3 == 0 else good) + f"n{i}", f"s{i % 5}") for i in range(300)]
+    rows += [(None, (bad if i % 3 == 0 else good) + f"null{i}", None) for i in range(60)]
+    rows += [(7, bad + "again", "s1"), (9, good + "again", "s1"), (7, None, "s1")]
+    made = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 3 != 0), 0) for i in range(0, 300, 2)], "doc_id long, quality int, toxic int")
+    kept = Counter((r.doc_id, r.text) for r in cotrain.accept(made, labels).collect() if r.text)
+    assert kept == Counter((i, t) for i, t, _ in rows if t and t.startswith("good"))
+    assert cotrain.classify(made, labels).columns == ["doc_id", "text_score", "meta_score", "score", "keep"]
+
+
 def check_packing(rows, tokens):
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for r in rows:
