@@ -1,7 +1,7 @@
 """SpotSigs document fingerprints, with DataFrame operations only.
 
-After every common word (the anchor) the next content words form a chain; anchor and chain are one signature, and a
-document's fingerprint is the set of its signatures. Sets are compared by Jaccard similarity; a pair whose set lengths
+After every common word (the anchor) the next content words form a chain; where a stretch of text has no common word,
+words chosen by their hash are anchors instead. Anchor and chain are one signature, and a document's fingerprint is the set of its signatures. Sets are compared by Jaccard similarity; a pair whose set lengths
 alone rule the wanted similarity out is pruned without looking at the sets.
 
 Defined results: a null text is empty; a text without words has the empty set, and two empty sets have likeness 1; rows
@@ -24,12 +24,16 @@ ANCHORS = (
 ).split()
 CHAIN = 2
 REACH = 6
+BARE = 12  # words without a common one, on both sides of a word that can be an anchor by its hash
+EACH = 4  # one in so many of those words is an anchor
 BETWEEN = "[^\\p{L}\\p{N}]+"
 
 
 def signatures(text: Column, anchors: list[str] | None = None, chain: int = CHAIN, reach: int = REACH) -> Column:
     """Sorted distinct 32-bit signatures. A chain is the first ``chain`` content words among the ``reach`` words after
-    the anchor. The start of the text is an anchor too, so that texts without common words have a signature."""
+    the anchor. Where no common word is within ``BARE`` words, one word in ``EACH`` is an anchor, so that every part of a
+    text in any language counts; the rule looks at neighbours only, so an edit changes the signatures around it alone. The
+    start of the text is an anchor too."""
     words = F.array_remove(F.split(F.lower(text), BETWEEN), "")
     common = sorted(set(anchors or ANCHORS))
 
@@ -37,7 +41,9 @@ def signatures(text: Column, anchors: list[str] | None = None, chain: int = CHAI
         def one(word: Column, at: Column) -> Column:
             near = F.filter(F.slice(words, at + 2, F.lit(reach)), lambda w: ~w.isin(common))
             links = F.slice(near, 1, chain)
-            return F.when(word.isin(common) & (F.size(links) == chain), F.hash(word, links))
+            around = F.slice(words, F.greatest(at + 1 - BARE, F.lit(1)), F.lit(2 * BARE))
+            chosen = (F.pmod(F.hash(word), F.lit(EACH)) == 0) & ~F.exists(around, lambda w: w.isin(common))
+            return F.when((word.isin(common) | chosen) & (F.size(links) == chain), F.hash(word, links))
 
         spots = F.filter(F.transform(words, one), lambda h: h.isNotNull())
         start = F.when(F.size(words) > 0, F.array(F.hash(F.lit("^"), F.slice(words, 1, chain + 1)))).otherwise(F.array().cast("array<int>"))

@@ -245,6 +245,18 @@ def test_spotsigs(docs, none):
     assert rows[1].sigs == rows[2].sigs and rows[3].sigs == []
 
 
+def test_spotsigs_without_common_words(spark):
+    long = [f"sana{k}kin" for k in range(200)]
+    cjk = [f"第{k}章天気晴朗" for k in range(200)]
+    pairs = [(k, " ".join(w), " ".join(w[:100] + [f"muu{n}" for n in range(100)])) for k, w in enumerate((long, cjk))]
+    pairs.append((2, "the start of it " + " ".join(long), "the start of it " + " ".join(long[::-1])))
+    made = spark.createDataFrame(pairs, "doc_id long, a string, b string")
+    a, b = spotsigs.signatures(made["a"]), spotsigs.signatures(made["b"])
+    for r in made.select("doc_id", a.alias("a"), spotsigs.likeness(a, b).alias("near"), spotsigs.likeness(a, a).alias("same")).collect():
+        assert len(r.a) > 20 and r.same == 1 and r.near < 0.6
+        assert r.near > 0.2 or r.doc_id == 2
+
+
 def test_lm(docs, none):
     rows = lm.score(docs).collect()
     assert len(rows) == len(TEXTS) and lm.score(none).count() == 0
