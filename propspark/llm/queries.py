@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from propspark.llm.common import table
-from propspark.llm import cotrain, decontaminate, lm, packing, secrets, shard, simhash, spotsigs, toolcalls, urlfilter
+from propspark.llm import cotrain, decontaminate, lm, merkle, packing, pii, secrets, shard, simhash, spotsigs, toolcalls, urlfilter, whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -120,6 +120,33 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+@query("op11_pii")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(table(spark, sf_dir, "documents"))
+    names = F.array(*map(F.lit, pii.KINDS))
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["stop"])), ",")
+
+    base = F.filter("spans", lambda s: s["score"].isNull())
+
+    def counted(at, name):
+        return F.size(F.filter(base, lambda s: s["kind"] == at)).cast("long").alias(f"n_{name}")
+
+    return found.select("doc_id", *(counted(at, name) for at, name in enumerate(pii.KINDS)), F.sha2(listed(base), 256).alias("base_sha256"),
+                        listed(F.col("spans")).alias("spans"))
+
+
+@query("op12_whiten")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_merkle")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(merkle.manifest(table(spark, sf_dir, "documents")))
+
+
 @query("op3_lm")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
