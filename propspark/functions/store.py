@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
 from propspark.session import checkpoint_dir
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """``df`` written as Parquet beside the checkpoints and read back, so that every later reader gets the same rows and
-    reads only the columns it needs. Rows survive lost executors."""
+    reads only the columns it needs. Rows survive lost executors. A folder for each value of the columns ``by``."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/rows-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

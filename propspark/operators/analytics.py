@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from propspark.functions.quantiles import (exact_quantiles, long_values, quantile_name, quantile_row, scalar_row, with_row)
+from propspark.functions.store import stored
 from propspark.functions.text import clean_numeric_zero, contains_any
 from propspark.operators.filters import INDUSTRIAL_KEYWORDS, typed
 from propspark.operators.scoring import COMPONENTS
@@ -40,9 +41,49 @@ def top_n(df: DataFrame, n: int = 100, score: str = "flex_score",
     return sort_score(df, score, tie).limit(n)
 
 
-def page(df: DataFrame, newest: str, offset: int, n: int, tie: Sequence[str] = ()) -> DataFrame:
-    """SRT-3: newest first, ``n`` rows after ``offset``."""
-    return df.orderBy(F.desc(newest), *tie).offset(offset).limit(n)
+# Rows up to which a page is taken from a plain sort, whose offset passes through one task.
+SHALLOW = 100_000
+
+
+class Pages:
+    """SRT-3: the rows in their final order, stored once in range partitions whose sizes are known, for pages at any depth.
+
+    ``at`` is a row's place in its partition. A page looks its first and last place up in the list of sizes and reads only
+    the partitions that hold it, and of those, as they are sorted by place, only the row groups it needs.
+    """
+
+    def __init__(self, df: DataFrame, order: Sequence[Column], parts: int | None = None):
+        spark = df.sparkSession
+        parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        numbered = (df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+                    .withColumn("__no", F.monotonically_increasing_id()))  # the partition in the upper bits, the place in the lower 33
+        self.columns = df.columns
+        self.rows = stored(numbered.withColumns({"__part": F.shiftright("__no", 33).cast("int"), "__at": F.col("__no").bitwiseAND((1 << 33) - 1)}).drop("__no"),
+                           by=["__part"])
+        sizes = self.rows.groupBy("__part").agg(F.count("*").alias("n")).orderBy("__part").collect()  # one row a partition
+        self.begin, held = {}, 0
+        for r in sizes:
+            self.begin[r["__part"]] = (held, r["n"])
+            held += r["n"]
+        self.total = held
+
+    def page(self, offset: int, n: int) -> DataFrame:
+        """``n`` rows after ``offset``, in order."""
+        wanted = F.lit(False)
+        for part, (first, size) in self.begin.items():
+            low, high = max(offset - first, 0), min(offset + n - first, size)
+            if low < high:
+                wanted = wanted | ((F.col("__part") == part) & (F.col("__at") >= low) & (F.col("__at") < high))
+        return self.rows.where(wanted).orderBy("__part", "__at").select(*self.columns)
+
+
+def page(df: DataFrame, newest: str, offset: int, n: int, tie: Sequence[str] = (), shallow: int = SHALLOW) -> DataFrame:
+    """SRT-3: newest first, ``n`` rows after ``offset``. Beyond ``shallow`` rows the pages are built (:class:`Pages`) and the
+    one asked for is read; whoever turns many pages keeps the :class:`Pages`."""
+    order = [F.desc(newest), *map(F.asc, tie)]
+    if offset + n > shallow:
+        return Pages(df, order).page(offset, n)
+    return df.orderBy(*order).offset(offset).limit(n)
 
 
 def ranked(df: DataFrame, n: int = 10, score: str = "flex_score",

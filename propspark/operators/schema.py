@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from propspark.functions.blocks import block_ratio, characters, shared_bound
 from propspark.functions.skew import lookup_join
 from propspark.functions.text import guarded_double
 
@@ -254,25 +255,34 @@ def schema_catalog(spark: SparkSession, files: dict[str, DataFrame]) -> DataFram
     return spark.createDataFrame(rows, "source_file string, column string, position int, type string")
 
 
-def similarity(a: Column, b: Column) -> Column:
-    return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
+def csv_catalog(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Catalogue of CSV files by their header lines, all read in one job."""
+    from propspark.sources.io import csv_headers
+
+    heads = csv_headers(spark, paths)
+    return heads.select(F.element_at(F.split("path", "/"), -1).alias("source_file"), F.posexplode("columns").alias("position", "column")).select(
+        "source_file", "column", "position", F.lit("string").alias("type"))
 
 
 def suggest_mapping(catalog: DataFrame, aliases: dict = PROCESSOR_ALIASES, low: float = 0.6) -> DataFrame:
-    """COL-5: best standard name per catalogue row: an exact alias, else the closest spelling above ``low``.
+    """COL-5: best standard name per catalogue row: an exact alias, else the most similar one above ``low``, by the share of
+    characters in longest matching blocks.
 
-    Every distinct spelling is compared once with the constant alias table; the answers are then looked up per row.
+    Every distinct spelling is compared once with the constant alias table, and block by block only with aliases whose letters
+    could reach ``low``; the answers are then looked up per row.
     """
     name = F.lower(F.trim("spelling"))
     pairs = [(std, a.lower()) for std, names in aliases.items() for a in names]
-    table = F.array(*[F.struct(F.lit(-i).alias("i"), F.lit(std).alias("std"), F.lit(a).alias("alias"))
+    table = F.array(*[F.struct(F.lit(-i).alias("i"), F.lit(std).alias("std"), F.lit(a).alias("alias"), F.array(*map(F.lit, a)).alias("chars"))
                       for i, (std, a) in enumerate(pairs)])
+    own = F.col("chars")
     # An exact spelling scores 2, so that it beats any similarity; ties go to the earlier alias.
     scored = F.transform(table, lambda t: F.struct(
-        F.when(name == t["alias"], F.lit(2.0)).otherwise(similarity(name, t["alias"])).alias("s"),
+        F.when(F.col("name") == t["alias"], F.lit(2.0)).when(shared_bound(own, t["chars"]) > low, block_ratio(own, t["chars"])).otherwise(F.lit(0.0)).alias("s"),
         t["i"].alias("i"), t["std"].alias("std")))
     # Working on an aggregate result keeps the comparison from being pushed below the aggregate, onto every row.
     spellings = (catalog.groupBy("column").agg(F.max("column").alias("spelling"))
+                 .withColumn("name", name).withColumn("chars", characters(F.col("name")))
                  .withColumn("best", F.array_max(scored)).where(F.col("best.s") > low))
     exact = F.col("best.s") == 2.0
     answers = spellings.select(

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from propspark.session import checkpoint_dir
+
 TODAY = "2001-12-31"
 
 
@@ -11,11 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints, which every executor can reach."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def props(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One property per line item. Dimension sizes decide between broadcast and shuffle joins at run time."""
     li, orders, part, supplier, nation, region = (
         table(spark, sf_dir, n) for n in ("lineitem", "orders", "part", "supplier", "nation", "region"))
-    li = li.repartition("l_orderkey")  # the join with orders needs this partitioning and shuffles no second time
     base = (
         li.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(part, F.col("l_partkey") == F.col("p_partkey"))

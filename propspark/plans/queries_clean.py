@@ -301,10 +301,20 @@ def catalog(spark, d):
 
 
 PAIRS = [(k, std, a.lower()) for k, (std, a) in enumerate((s, a) for s, v in schema.PROCESSOR_ALIASES.items() for a in v)]
-SUGGEST = CAT + ", al(k,std,a) AS (VALUES " + ",".join(f"({k},'{s}','{a}')" for k, s, a in PAIRS) + """),
- u AS (SELECT DISTINCT "column" FROM cat), x AS (SELECT "column", std, k, lower(trim("column"))=a AS ex,
-  1-levenshtein(lower(trim("column")),a)/greatest(length(trim("column")),length(a))::double AS s FROM u, al),
- b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY ex DESC, CASE WHEN ex THEN 0 ELSE -s END, k) AS r FROM x WHERE ex OR s>0.6) WHERE r=1),
+SUGGEST = CAT.replace("WITH", "WITH RECURSIVE", 1) + ", al(k,std,a) AS (VALUES " + ",".join(f"({k},'{s}','{a}')" for k, s, a in PAIRS) + """),
+ u AS (SELECT DISTINCT "column", lower(trim("column")) AS name FROM cat), x AS (SELECT "column", name, std, k, a, name=a AS ex FROM u, al),
+ ab AS (SELECT DISTINCT name, a FROM x),
+ run AS (SELECT name, a, i, j, max(n) AS n FROM ab, unnest(range(1,len(name)+1)) AS t(i), unnest(range(1,len(a)+1)) AS q(j), unnest(range(1,len(a)+1)) AS o(n)
+  WHERE j+n<=len(a)+1 AND i+n<=len(name)+1 AND substr(name,i,n)=substr(a,j,n) GROUP BY ALL),
+ seg AS (SELECT name, a, 1 AS alo, len(name)+1 AS ahi, 1 AS blo, len(a)+1 AS bhi FROM ab
+  UNION ALL SELECT name, a, CASE WHEN side=0 THEN alo ELSE -m.i+m.n END, CASE WHEN side=0 THEN -m.i ELSE ahi END,
+   CASE WHEN side=0 THEN blo ELSE -m.j+m.n END, CASE WHEN side=0 THEN -m.j ELSE bhi END
+  FROM (SELECT seg.name, seg.a, alo, ahi, blo, bhi, max({'n': least(n, ahi-i, bhi-j), 'i': -i, 'j': -j}) AS m FROM seg JOIN run ON seg.name=run.name AND seg.a=run.a
+   WHERE i>=alo AND i<ahi AND j>=blo AND j<bhi GROUP BY ALL), (VALUES (0),(1)) s(side)),
+ hit AS (SELECT seg.name, seg.a, alo, ahi, blo, bhi, max(least(n, ahi-i, bhi-j)) AS n FROM seg JOIN run ON seg.name=run.name AND seg.a=run.a
+   WHERE i>=alo AND i<ahi AND j>=blo AND j<bhi GROUP BY seg.name, seg.a, alo, ahi, blo, bhi),
+ sim AS (SELECT name, a, 2.0*sum(n)/(len(name)+len(a)) AS s FROM hit GROUP BY name, a),
+ b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY ex DESC, CASE WHEN ex THEN 0 ELSE -s END, k) AS r FROM x LEFT JOIN sim USING (name, a) WHERE ex OR s>0.6) WHERE r=1),
  sug AS (SELECT cat.source_file, cat."column", position, std AS suggested, round(CASE WHEN ex THEN 1.0 ELSE s END,6) AS confidence,
   CASE WHEN ex THEN 'exact' ELSE 'fuzzy' END AS mapping_type FROM cat JOIN b ON cat."column"=b."column")
 """
@@ -451,12 +461,12 @@ def _(spark, d):
     return dedupe.union_all([p.where("source_file = 'file_A'").select("rid", "city", "zoning"), p.where("source_file <> 'file_A'").select("rid", "city", "county")])
 
 
-@query("set2_column_sets", CAT + """, a AS (SELECT DISTINCT "column" FROM cat WHERE type='string'), b AS (SELECT DISTINCT "column" FROM cat WHERE type='double' AND position<>3)
+@query("set2_column_sets", CAT + """, a AS (SELECT DISTINCT "column" FROM cat WHERE type='string'), b AS (SELECT DISTINCT "column" FROM cat WHERE type='double')
 SELECT "column", 'both' AS "where" FROM a WHERE "column" IN (SELECT * FROM b) UNION ALL SELECT "column", 'left' FROM a WHERE "column" NOT IN (SELECT * FROM b)
 UNION ALL SELECT "column", 'right' FROM b WHERE "column" NOT IN (SELECT * FROM a)""")
 def _(spark, d):
     c = catalog(spark, d)
-    return dedupe.column_sets(c.where("type = 'string'").select("column").distinct(), c.where("type = 'double' AND position <> 3").select("column").distinct())
+    return dedupe.column_sets(c.where("type = 'string'").select("column").distinct(), c.where("type = 'double'").select("column").distinct())
 
 
 BY_FILE = ["file_A", "file_N", "file_R"]

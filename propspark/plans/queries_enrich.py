@@ -2,11 +2,14 @@
 
 from pyspark.sql import functions as F
 
+from propspark.functions.text import dashed_parcel
 from propspark.operators import enrich as en
-from propspark.plans.props import PROPS_SQL as P, props, table
+from propspark.operators.dedupe import union_all
+from propspark.plans.props import PROPS_SQL as P, props, scratch, table
 from propspark.plans.queries_analytics import rounded
 from propspark.plans.queries_scoring import ids
 from propspark.plans.registry import query
+from propspark.sources import versioned
 
 
 # Orders are the parcels; the line items of urgent and high-priority orders are their details.
@@ -50,8 +53,6 @@ def _(spark, d):
 
 def roll(spark, d):
     """A tax roll with two id columns in different spellings and text values; parts 0 to 2 of 3 are covered."""
-    from propspark.functions.text import dashed_parcel
-
     p = props(spark, d).where(F.col("row_pos") % 3 != 0)
     even = F.col("row_pos") % 2 == 0
     return p.select(
@@ -73,6 +74,23 @@ def _(spark, d):
     return en.cama_join(p, roll(spark, d), ["roll_no"], salt_by=["rid"]).select("rid", "roll_no", "status", "data_quality")
 
 
+@query("joi3_spelling_order", """SELECT o_orderkey AS parcel, CASE WHEN o_orderkey%2=0 THEN 'exact' WHEN o_orderkey%3=0 THEN 'filled' WHEN o_orderkey%5=0 THEN 'dashed' ELSE 'spaced' END AS how,
+ CASE WHEN o_orderkey%2=0 THEN 'PARCEL_ID' WHEN o_orderkey%3=0 THEN 'PCN' ELSE 'PARID' END AS id_column FROM orders""")
+def _(spark, d):
+    own = F.lpad(F.col("o_orderkey").cast("string"), 14, "9")
+    parcels = table(spark, d, "orders").select(F.col("o_orderkey").alias("parcel"), own.alias("parcel_id"))
+    key, none = F.col("parcel_id"), F.lit(None).cast("string")
+
+    def rows(how, rank, **ids):
+        return parcels.where(f"parcel % {rank} = 0").select(*[ids.get(k, none).alias(k) for k in ("PARID", "PCN", "PARCEL_ID")], F.lit(how).alias("how"), F.lit(9 - rank).alias("roll_no"))
+
+    # The better a spelling, the later its id column and row.
+    roll_ = union_all([rows("spaced", 1, PARID=F.concat(F.lit(" "), key)), rows("dashed", 5, PARID=dashed_parcel(key)),
+                          rows("filled", 3, PCN=F.lpad(key, 17, "0")), rows("exact", 2, PARCEL_ID=key)])
+    found = en.cama_join(parcels, roll_, ["roll_no"], salt_by=["parcel"])
+    return found.select("parcel", "how", F.when(F.col("PARID").isNotNull(), "PARID").when(F.col("PCN").isNotNull(), "PCN").otherwise("PARCEL_ID").alias("id_column"))
+
+
 @query("joi4_cama_fields", P + """SELECT rid AS roll_no, round(market_value,2) AS market_value_cama, CASE WHEN occupancy>84 THEN round(land_market_value,2) END AS land_value_cama,
  owner_name AS owner_name_cama, NULL::double AS acreage_cama, cast(year_built as double) AS year_built_cama,
  CASE WHEN occupancy>84 THEN round(market_value-land_market_value,2) END AS improvement_value_cama FROM props WHERE row_pos%3<>0""")
@@ -106,9 +124,11 @@ def _(spark, d):
     return en.merge(orders(spark, d).select("parcel_id", "market_value"), b, ["parcel_id"], null_wins=True)
 
 
-@query("joi7_group_footprints", D + """SELECT parcel_id, count(*) AS n_buildings, sum(office_area) AS total_area, min(detail_no) AS first_building FROM details GROUP BY 1""")
+@query("joi7_group_footprints", """SELECT l_orderkey AS parcel_id, count(*) AS n_buildings, sum(l_quantity) AS total_area, min(l_linenumber) AS first_building FROM lineitem GROUP BY 1""")
 def _(spark, d):
-    out = en.group_footprints(details(spark, d), fields=ORDER + ["office_area"])
+    buildings = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("parcel_id"), F.col("l_linenumber").alias("detail_no"), F.col("l_partkey").alias("detail_part"),
+                                                   F.col("l_suppkey").alias("detail_supp"), F.col("l_extendedprice").alias("detail_price"), F.col("l_quantity").alias("office_area"))
+    out = en.group_footprints(buildings, fields=ORDER + ["office_area"])
     one = F.aggregate("buildings", F.lit(0.0), lambda a, b: a + b["office_area"])
     return (out.groupBy("parcel_id").agg(F.sum(F.size("buildings")).alias("n_buildings"), F.sum(one).alias("total_area"),
                                          F.min(F.element_at("buildings", 1)["detail_no"]).alias("first_building")))
@@ -144,7 +164,24 @@ def _(spark, d):
 def _(spark, d):
     base = table(spark, d, "customer").where("c_custkey % 4 <> 0").select("c_custkey", "c_name", "c_acctbal")
     new = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n_orders"), F.max("o_totalprice").alias("top"))
-    return en.upsert(base, new.select("c_custkey", "n_orders", F.when(F.col("n_orders") > 10, F.col("top")).alias("c_acctbal")), "c_custkey")
+    root = f"{scratch(spark, 'upsert')}/table"
+    versioned.create(base, root, "c_custkey", buckets=16)
+    changes = new.select("c_custkey", "n_orders", F.when(F.col("n_orders") > 10, F.col("top")).alias("c_acctbal"))
+    for half in (0, 1):  # two runs, each over its own keys
+        versioned.update(changes.where(F.col("c_custkey") % 2 == half), root)
+    return versioned.read(spark, root)
+
+
+@query("snk5_update_existing", """SELECT c.c_custkey, c.c_name, coalesce(u.bal, c.c_acctbal) AS c_acctbal FROM customer c LEFT JOIN
+ (SELECT o_custkey AS k, arg_max(o_totalprice, o_orderkey) AS bal FROM orders GROUP BY 1) u ON c.c_custkey=u.k""")
+def _(spark, d):
+    root = f"{scratch(spark, 'update')}/table"
+    versioned.create(table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal"), root, "c_custkey", buckets=16)
+    # several updates a key, of which the last counts, and some for keys that the table lacks
+    orders_ = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_totalprice").alias("c_acctbal"), F.col("o_orderkey").alias("at"))
+    strangers = orders_.withColumn("c_custkey", -F.col("c_custkey") - 1)
+    versioned.update(orders_.unionByName(strangers), root, order=["at"], insert=False)
+    return versioned.read(spark, root).drop("at")
 
 
 @query("src5_flatten_features", P + """SELECT parcel_id, property_use, lot_size_acres AS acres, owner_name, city AS municipality, market_value, 0.0::double AS sale_price,

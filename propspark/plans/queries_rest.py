@@ -1,27 +1,19 @@
 """Queries for models (ML), recommendations (REC), events (EVT), runs (RUN), streams (STR), user functions and IO."""
 
-import uuid
+from pyspark.sql import Window, functions as F
 
-from pyspark.sql import functions as F
-
-from propspark.operators import events as ev, ml, quality as dq, recommend as rec, runs as rn, scoring as sco, udf
+from propspark.operators import analytics, events as ev, ml, quality as dq, recommend as rec, runs as rn, scoring as sco, udf
 from propspark.plans import pipelines
-from propspark.plans.props import PROPS_SQL as P, TODAY, props, table
+from propspark.plans.props import PROPS_SQL as P, TODAY, props, scratch, table
 from propspark.plans.queries_analytics import rounded
 from propspark.plans.queries_clean import G, KEY, gappy
 from propspark.plans.queries_scoring import candidates, ids, scored, weighted
 from propspark.plans.registry import query
 from propspark.plans.sqltext import CLASS, SCORED_SQL as S, WEIGHTED_SQL as W
-from propspark.session import checkpoint_dir
 from propspark.sources import io
 from propspark.streaming import ingest
 
 
-def scratch(spark, name):
-    """A new folder beside the checkpoints, which every executor can reach."""
-    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 # --- models --------------------------------------------------------------------------------------------------------
 
 ML_COLS = ["building_sqft", "lot_size_acres", "year_built", "sold_price"]
@@ -150,14 +142,23 @@ def _(spark, d):
     return rounded(rec.pipeline_recs(candidates(spark, d), run_table(spark, d), 0.5))
 
 
-@query("rec6_quality", G + """, x AS (SELECT zoning, state, CASE WHEN row_pos%3=0 THEN lot_size_acres END AS lot_size_acres, address FROM gappy)
+@query("rec6_quality", G + """, x AS (SELECT zoning, state, CASE WHEN row_pos%3=0 THEN lot_size_acres END AS lot_size_acres, address FROM gappy),
+ b AS (SELECT quantile_cont(lot_size_acres,0.25) AS a1, quantile_cont(lot_size_acres,0.75) AS a3 FROM x),
+ o AS (SELECT count(*) FILTER (lot_size_acres<a1-1.5*(a3-a1) OR lot_size_acres>a3+1.5*(a3-a1))*100.0/count(*) AS oa FROM x, b),
+ w AS (SELECT count(*) FILTER (n>m) AS bad FROM (SELECT count(DISTINCT v) AS n, count(DISTINCT lower(v)) AS m FROM
+  (SELECT 'z' AS c, zoning AS v FROM x UNION ALL SELECT 's', state FROM x UNION ALL SELECT 'a', address FROM x) GROUP BY c)),
+ q AS (SELECT (count(zoning)+count(state)+count(lot_size_acres)+count(address))*1.0/(count(*)*4) AS completeness, (SELECT (4-0.3*bad)/4 FROM w) AS consistency,
+  (SELECT (3 + CASE WHEN oa>5 THEN greatest(0.5,1-oa/100) ELSE 1 END)/4 FROM o) AS validity, (SELECT count(*) FROM (SELECT DISTINCT * FROM x))*1.0/count(*) AS uniqueness FROM x)
 SELECT 'missing_column' AS kind, 'city' AS subject, NULL::double AS value UNION ALL SELECT 'missing_column','property_type',NULL UNION ALL SELECT 'missing_column','building_sqft',NULL
+UNION ALL SELECT 'improve_quality','overall',round((completeness+consistency+validity+uniqueness)/4,6) FROM q WHERE (completeness+consistency+validity+uniqueness)/4<0.7
+UNION ALL SELECT 'low_score','completeness',round(completeness,6) FROM q WHERE completeness<0.5 UNION ALL SELECT 'low_score','consistency',round(consistency,6) FROM q WHERE consistency<0.5
+UNION ALL SELECT 'low_score','validity',round(validity,6) FROM q WHERE validity<0.5 UNION ALL SELECT 'low_score','uniqueness',round(uniqueness,6) FROM q WHERE uniqueness<0.5
 UNION ALL SELECT 'high_missing','lot_size_acres',round((count(*)-count(lot_size_acres))*100.0/count(*),6) FROM x
 UNION ALL SELECT 'many_duplicates','lot_size_acres',round(count(DISTINCT lot_size_acres)*100.0/count(*),6) FROM x UNION ALL SELECT 'many_duplicates','zoning',round(count(DISTINCT zoning)*100.0/count(*),6) FROM x
 UNION ALL SELECT 'many_duplicates','state',round(count(DISTINCT state)*100.0/count(*),6) FROM x""")
 def _(spark, d):
     x = gappy(spark, d).select("zoning", "state", F.when(F.col("row_pos") % 3 == 0, F.col("lot_size_acres")).alias("lot_size_acres"), "address")
-    return rounded(rec.quality_recs(x).where("kind <> 'low_score' AND kind <> 'improve_quality'"))
+    return rounded(rec.quality_recs(x))
 
 
 # --- events --------------------------------------------------------------------------------------------------------
@@ -223,6 +224,40 @@ def _(spark, d):
     return ev.corrupted(tampered(spark, d)).select("event_id")
 
 
+# The log of a program in another language: nested details, and checksums over its own JSON text.
+LOG = A + """, log AS (SELECT event_id AS id, event_type, ts AS "timestamp", user_id, action, json_extract(details, '$.k')::bigint AS k, value FROM audit JOIN (SELECT event_id AS e, value FROM events) v ON e=event_id),
+ txt AS (SELECT *, '{"action": "' || action || '", "details": {"by \\u00e9": {"k": ' || k || ', "tags": ["' || event_type || '", "a\\"b\\n"]}, "seen": ' || (k%2=0) || ', "value": ' || value || '}, "event_type": "'
+  || event_type || '", "id": ' || id || ', "timestamp": "' || strftime("timestamp", '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us("timestamp")%1000000<>0 THEN strftime("timestamp", '.%f') ELSE '' END
+  || '", "user_id": ' || coalesce(user_id::varchar, 'null') || '}' AS t FROM log)
+"""
+
+
+def event_log(spark, d):
+    value = table(spark, d, "events").select("event_id", "value")
+    inner = F.struct(F.array("event_type", F.lit('a"b\n')).alias("tags"), F.get_json_object("details", "$.k").cast("long").alias("k"))
+    seen = F.get_json_object("details", "$.k").cast("long") % 2 == 0
+    return audit(spark, d).join(value, "event_id").select(
+        F.col("event_id").alias("id"), "event_type", F.col("ts").alias("timestamp"), "user_id", "action",
+        F.struct(F.col("value"), seen.alias("seen"), inner.alias("by é")).alias("details"))
+
+
+@query("evt3_log_checksum", LOG + "SELECT id, sha256(t) AS checksum FROM txt")
+def _(spark, d):
+    log = event_log(spark, d)
+    return log.select("id", ev.log_checksum(log).alias("checksum"))
+
+
+@query("evt3_log_verify", LOG + """SELECT count(*) AS total_events, count(*) FILTER (id%50=0) AS corrupted_events,
+ round((count(*)-count(*) FILTER (id%50=0))*100.0/count(*),6) AS integrity_percentage FROM txt""")
+def _(spark, d):
+    log = event_log(spark, d)
+    text = "value double, seen boolean, `by é` struct<k: long, tags: array<string>>"
+    kept = log.withColumn("checksum", ev.log_checksum(log)).withColumn("details", F.to_json("details"))
+    one_byte = F.when(F.col("id") % 50 == 0, F.replace("details", F.lit('a\\"b'), F.lit('a\\"c'))).otherwise(F.col("details"))
+    changed = kept.withColumn("details", one_byte)
+    return rounded(ev.verify(changed, expected=ev.log_checksum(changed, text)))
+
+
 @query("evt4_event_stats", A + """SELECT count(*) AS total_events, count(*) FILTER (ts>TIMESTAMP '2024-01-29 00:00:00') AS events_last_24h,
  strftime(min(ts),'%Y-%m-%d %H:%M:%S') AS oldest_event, strftime(max(ts),'%Y-%m-%d %H:%M:%S') AS newest_event FROM audit""")
 def _(spark, d):
@@ -252,6 +287,21 @@ def _(spark, d):
     return ev.trailing_failures(audit(spark, d), 24 * 60).select("event_id", "user_id", "failures")
 
 
+@query("win10_sliced_failures", A + """SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '86399.999999 seconds' PRECEDING AND CURRENT ROW) AS failures
+ FROM audit WHERE NOT success""")
+def _(spark, d):
+    return ev.sliced_failures(audit(spark, d), 24 * 60).select("event_id", "user_id", "failures")
+
+
+@query("evt1_deep_pages", A + """, r AS (SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id) AS place, count(*) OVER () AS n FROM audit)
+SELECT event_id, place FROM r WHERE place BETWEEN 1 AND 20 OR place BETWEEN n//2+1 AND n//2+20 OR place>n-20""")
+def _(spark, d):
+    pages = analytics.Pages(audit(spark, d).select("event_id", "ts"), [F.desc("ts"), F.asc("event_id")])
+    parts = [pages.page(at, 20).withColumn("place", F.row_number().over(Window.orderBy(F.desc("ts"), "event_id")).cast("long") + at)
+             for at in (0, pages.total // 2, pages.total - 20)]
+    return io.union_all(parts).select("event_id", "place")
+
+
 # --- runs ----------------------------------------------------------------------------------------------------------
 
 RW = "WITH " + RUNS
@@ -355,14 +405,14 @@ def _(spark, d):
     return ids(pipelines.file_pipeline(props(spark, d), TODAY), "source_file", "flex_score", "flex_classification")
 
 
-@query("str1_incremental_ingest", "SELECT 'orders.parquet' AS source_file, o_orderkey, round(o_totalprice*10,2) AS market_value FROM orders WHERE o_totalprice>100000")
+@query("str1_incremental_ingest", """SELECT o_orderkey%2 AS run, o_orderkey, round(o_totalprice*10,2) AS market_value FROM orders""")
 def _(spark, d):
     base = scratch(spark, "ingest")
-    schema = table(spark, d, "orders").schema
-    pick = lambda b: b.where("o_totalprice > 100000").select("source_file", "o_orderkey", F.round(F.col("o_totalprice") * 10, 2).alias("market_value"))
-    for _ in range(2):  # the second run finds nothing new
-        q = ingest.ingest_stream(spark, d, schema, f"{base}/out", f"{base}/ckpt", transform=pick, pattern="orders.parquet")
-        q.awaitTermination()
+    orders = table(spark, d, "orders")
+    pick = lambda b: b.select(F.col("o_orderkey") % 2, "o_orderkey", F.round(F.col("o_totalprice") * 10, 2).alias("market_value")).toDF("run", "o_orderkey", "market_value")
+    for run in (0, 1):  # new files come between the runs, and the second one reads only those
+        orders.where(F.col("o_orderkey") % 2 == run).write.mode("append").parquet(f"{base}/in")
+        ingest.ingest_stream(spark, f"{base}/in", orders.schema, f"{base}/out", f"{base}/ckpt", transform=pick).awaitTermination()
     return spark.read.parquet(f"{base}/out").drop("batch_id")
 
 
@@ -412,6 +462,20 @@ def _(spark, d):
     return df.groupBy("source_file").agg(F.count("*").alias("n"), F.count("c_acctbal").alias("with_customer"), F.count("s_acctbal").alias("with_supplier"))
 
 
+@query("src2_csv_layouts", """SELECT 'c_custkey,c_name,c_acctbal' AS layout, count(*) AS n, sum(c_custkey) AS keys FROM customer UNION ALL
+SELECT 's_name,s_suppkey', count(*), sum(s_suppkey) FROM supplier UNION ALL SELECT 'c_name,c_custkey', count(*), sum(c_custkey) FROM customer""")
+def _(spark, d):
+    base = scratch(spark, "layouts")
+    c, s = table(spark, d, "customer"), table(spark, d, "supplier")
+    for part in (c.select("c_custkey", "c_name", "c_acctbal"), s.select("s_name", "s_suppkey"), c.select("c_name", "c_custkey")):
+        part.repartition(3).write.mode("append").csv(f"{base}/in", header=True)
+    files = [r["path"] for r in io.scan(spark, f"{base}/in", "*.csv").collect()]  # the caller's list of files
+    groups = io.csv_groups(spark, files)
+    layouts = [io.read_properties(spark, [g]).drop("source_file", "source_path") for g in groups]
+    key = lambda df: F.sum(F.col("c_custkey" if "c_custkey" in df.columns else "s_suppkey").cast("long"))
+    return io.union_all([df.agg(F.lit(",".join(df.columns)).alias("layout"), F.count("*").alias("n"), key(df).alias("keys")) for df in layouts])
+
+
 @query("src3_file_metadata", """SELECT 'lineitem.parquet' AS file_name, '.parquet' AS extension, count(*) AS estimated_properties FROM lineitem
 UNION ALL SELECT 'orders.parquet', '.parquet', count(*) FROM orders""")
 def _(spark, d):
