@@ -274,14 +274,67 @@ def test_lm(docs, none):
     assert by_id[1].score == by_id[2].score
 
 
+def lm_blocks(counts, size):
+    """Blocks of (word, kind) counts, ``size`` words each, with their borders."""
+    words = sorted({w for w, _ in counts}, key=lambda w: ((w + b" ")[:lm.REACH + 1], w))
+    blocks = []
+    for at in range(0, len(words), size):
+        part = words[at:at + size]
+        pairs = sorted((k, part.index(w), n) for (w, k), n in counts.items() if w in part)
+        blocks.append(lm.Block(np.frombuffer(b"".join(part), np.uint8), np.array([len(w) for w in part]), np.array([r for _, r, _ in pairs]),
+                               np.array([k for k, _, _ in pairs]), np.array([n for _, _, n in pairs])))
+    return words, blocks
+
+
+@pytest.mark.parametrize("size", [1000, 7, 1])
+def test_lm_counts_of_beginnings(size):
+    rng = np.random.default_rng(2)
+    counts = Counter()
+    for _ in range(300):
+        word = bytes(rng.choice(list(b"abz\xc3\x00"), int(rng.integers(1, 5)))) + b"q" * int(rng.choice([0, 0, 30]))
+        counts[word, int(rng.integers(0, 3))] += int(rng.integers(0, 4))
+    _, blocks = lm_blocks(counts, size)
+    bits = defaultdict(int)
+    for (w, k), n in counts.items():
+        text = "".join(f"{x:08b}" for x in (w + b" ")[:lm.REACH + 1])
+        for d in range(len(text) + 1):
+            bits[text[:d], k] += n
+    kinds = sorted({k for _, k in counts})
+    for block, left, right in zip(blocks, *lm.beside(blocks)):
+        for p, j, pairs, group, first, own, same, other, k_same, k_other in block.beginnings(left, right):
+            for g in range(len(first)):
+                mine = pairs[group == g]
+                text = "".join(f"{x:08b}" for x in block.rows[first[g]])[:8 * p + j + 1]
+                flip, kind = text[:-1] + "10"[int(text[-1])], block.kind[mine[0]]
+                assert (k_same[g], k_other[g]) == (bits[text, kind], bits[flip, kind]) and own[g] == block.n[mine].sum()
+                assert (same[g], other[g]) == (sum(bits[text, k] for k in kinds), sum(bits[flip, k] for k in kinds))
+
+
 def test_lm_is_a_distribution():
-    tables = lm.empty_tables(np.int64)
-    chunk = lm.Chunk(["some words and some more words"] * 3)
-    w, n = np.unique(chunk.windows(), return_counts=True)
-    lm.add_windows(tables, w, n)
-    model = lm.Model([lm.squeezed(t) for t in tables])
-    context = chunk.windows()[20] & ~np.uint64(255)
-    assert np.exp2(-model.costs(context | np.arange(256, dtype=np.uint64))).sum() == pytest.approx(1)
+    counts = Counter({(w, k): n for w, k, n in ((b"some", 1, 3), (b"words", 1, 4), (b"so", 2, 1), (b"w", 1, 1))})
+    # every byte that could follow "wo" stands in the list with no occurrence, as words of held-out texts do
+    for byte in range(256):
+        counts.setdefault((b"wo" + bytes([byte]), 1), 0)
+    words, blocks = lm_blocks(counts, 10_000)
+    block, bits = blocks[0], lm.table_bits(10)
+    tables = lm.empty_tables(bits, np.int64)
+    block.add(tables, bits)
+    model = lm.Model([lm.squeezed(t) for t in tables], bits)
+    none = np.zeros((lm.DEPTHS, lm.KINDS), np.int64)
+    third, totals = {}, np.zeros(len(block.row))
+    for (p, j, pairs, group, *_), (args, *_) in zip(block.beginnings(none, none), model.block_bits(block, none, none)):
+        if p == 2:
+            totals[pairs] += model.costs(*args)[group]
+    for at, (row, kind) in enumerate(zip(block.row, block.kind)):
+        if kind == 1 and bytes(block.rows[row, :2]) == b"wo":
+            third[int(block.rows[row, 2])] = totals[at]
+    assert len(third) == 256 and sum(2.0 ** -c for c in third.values()) == pytest.approx(1)
+
+
+@pytest.mark.parametrize("scale", ["0.01"])
+def test_lm_beats_its_base(spark, scale):
+    rows = lm.score(spark.read.parquet(f"/root/testdata/sf{scale}/documents.parquet")).where("held_out").selectExpr("sum(score) a", "sum(base_score) b").first()
+    assert rows.a > rows.b
 
 
 def test_toolcalls(spark):
