@@ -6,7 +6,7 @@ a document that lacks it cannot contain the window. Occurrences of that word giv
 in the window and the length of the document bound where the window can lie, and the words there are compared.
 
 Defined results: a null text has no words; an item without words has no windows; an item without an id marks words but
-is not listed; rows that repeat a doc_id and its text are one document; a null doc_id is a value of its own; other
+is not listed; rows that repeat a doc_id and its text are searched once, and each has its row; a null doc_id is a value of its own; other
 columns are ignored; without documents the result is empty, without items no word is hit.
 """
 
@@ -92,8 +92,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     windows = stored(listed.groupBy("win").agg(F.lit(1).alias("one")).select(F.monotonically_increasing_id().alias("window_id"), "win"))
     members = stored(listed.join(windows, "win").select("window_id", "item_id").distinct())
     prefixes = stored(rarest_words(parts, windows))
-    hits = stored(occurrences(parts, prefixes).distinct())
     key = ["doc_id", "text_hash"]
+    # Every row of a document brings one row without a window, so their number is that of its copies.
+    hits = stored(occurrences(parts, prefixes).groupBy(*key, "n_words", "window_id", "start", "stop").agg(F.count(F.lit(1)).alias("copies")))
     # Sorted spans of one document: a word is counted where a span goes beyond the end of those before it.
     spans = F.array_sort(F.collect_list(F.when(F.col("window_id").isNotNull(), F.struct("start", "stop"))))
     counted = F.aggregate(
@@ -101,19 +102,22 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
         lambda a, s: F.struct((a["n"] + F.greatest(s["stop"] - F.greatest(s["start"], a["end"]), F.lit(0))).alias("n"),
                               F.greatest(s["stop"], a["end"]).alias("end")),
         lambda a: a["n"])
-    per_doc = hits.groupBy(*key).agg(F.max("n_words").cast("long").alias("n_words"), counted.cast("long").alias("n_hit"))
+    per_doc = hits.groupBy(*key).agg(F.max("n_words").cast("long").alias("n_words"), counted.cast("long").alias("n_hit"),
+                                     F.max(F.when(F.col("window_id").isNull(), F.col("copies"))).alias("copies"))
     found = hits.where("window_id is not null").select(*key, "window_id").distinct()
     named = (found.join(F.broadcast(members) if _small(members) else members, "window_id")
              .groupBy(*key).agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
              .withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"}))
     both = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))
-    return per_doc.join(named, both, "left").select(
+    rows = per_doc.join(named, both, "left").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return rows.select(
         *key, "n_words", "n_hit", F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` without the documents that contain a window of an item; all columns stay."""
-    bad = contamination(docs, items, window).where("contaminated").select(F.col("doc_id").alias("__id"), "text_hash")
-    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(text_of(docs)) == F.col("text_hash"))
+    bad = contamination(docs, items, window).where("contaminated").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    # The columns are named by their frames, as documents may have columns of any name.
+    same = docs["doc_id"].eqNullSafe(bad["__id"]) & (F.xxhash64(text_of(docs)) == bad["__hash"])
     return docs.join(bad, same, "left_anti")

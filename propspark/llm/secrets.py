@@ -60,7 +60,8 @@ def _matches(text: Column, kind: Kind) -> Column:
 
 
 def candidates(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
-    """(doc_id, text_hash, kind, start, stop) of every match, and one row with a null kind per document.
+    """(doc_id, text_hash, kind, start, stop, copies) of every match, and one row with a null kind per document. ``copies``: the
+    number of rows that the document has.
 
     Positions are running sums over a document's matches, so the work is linear in the number of matches.
     """
@@ -73,13 +74,14 @@ def candidates(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
         "doc_id", "text_hash", "kind", F.posexplode("found").alias("at", "m")).select("doc_id", "text_hash", "kind", "at", "m.*")
     before = Window.partitionBy("doc_id", "text_hash", "kind").orderBy("at")
     stop = F.sum(F.col("gap") + F.col("size")).over(before)
-    return (listed.distinct().withColumn("stop", stop.cast("long")).where("counts")
-            .select("doc_id", "text_hash", "kind", (F.col("stop") - F.col("size")).alias("start"), "stop"))
+    once = listed.groupBy(*listed.columns).agg(F.count(F.lit(1)).alias("copies"))  # rows that repeat a document
+    return (once.withColumn("stop", stop.cast("long")).where("counts")
+            .select("doc_id", "text_hash", "kind", (F.col("stop") - F.col("size")).alias("start"), "stop", "copies"))
 
 
 def spans(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, scope: int = SCOPE) -> DataFrame:
-    """(doc_id, text_hash, kind, start, stop): strong spans and linked weak ones, and one row with a null kind per
-    document. Code points, stop exclusive."""
+    """(doc_id, text_hash, kind, start, stop, copies): strong spans and linked weak ones, and one row with a null kind
+    per document, which alone has its copies. Code points, stop exclusive."""
     found = stored(candidates(docs, kinds))
     weak = [k.name for k in kinds if k.needs]
     role = F.lit(None)
@@ -100,7 +102,7 @@ def spans(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, scope: int = SCOPE)
     for k in kinds:
         if k.needs:
             complete = complete | ((F.col("kind") == k.name) & (F.size(F.array_except(F.array(*map(F.lit, k.needs)), F.col("roles"))) == 0))
-    linked = near.where(complete).select(*key, "kind", "start", "stop")
+    linked = near.where(complete).select(*key, "kind", "start", "stop", F.lit(None).cast("long").alias("copies"))
     return found.where(F.col("kind").isNull() | ~F.col("kind").isin(weak)).unionByName(linked)
 
 
@@ -110,7 +112,9 @@ def report(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, scope: int = SCOPE)
     for i, k in enumerate(kinds):
         rank = F.when(F.col("kind") == k.name, i).otherwise(rank)
     span = F.when(F.col("kind").isNotNull(), F.struct("start", rank.alias("rank"), "kind", "stop"))
-    return spans(docs, kinds, scope).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(span)).alias("spans"))
+    copies = F.max(F.when(F.col("kind").isNull(), F.col("copies")))
+    one = spans(docs, kinds, scope).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(span)).alias("spans"), copies.alias("copies"))
+    return one.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("doc_id", "text_hash", "spans")
 
 
 def redact(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, scope: int = SCOPE, mark: str = MARK) -> DataFrame:
@@ -125,19 +129,12 @@ def redact(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, scope: int = SCOPE,
                                                     F.struct("start", F.col("seen").alias("begin"))))).alias("cuts"),
                  F.max("stop").alias("tail"))
             .withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"}))
-    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(text_of(docs)) == F.col("__hash"))
-    text = docs["text"]
-    kept = F.transform("cuts", lambda c: F.concat(text.substr((c["begin"] + 1).cast("int"), (c["start"] - c["begin"]).cast("int")), F.lit(mark)))
-    clean = F.concat(F.array_join(kept, ""), text.substr((F.col("tail") + 1).cast("int"), F.length(text)))
-    joined = docs.join(cuts, same, "left")
-    changed = F.col("cuts").isNotNull()
-    out = joined.withColumn("__text", F.when(changed, clean).otherwise(text))
-    cols = []
-    for c in docs.columns:
-        if c == "text":
-            cols.append(F.col("__text").alias("text"))
-        elif c == "n_chars":
-            cols.append(F.when(changed, F.length("__text").cast(docs.schema["n_chars"].dataType)).otherwise(docs[c]).alias(c))
-        else:
-            cols.append(docs[c])
-    return out.select(*cols)
+    # The columns are named by their frames, as documents may have columns of any name.
+    same = docs["doc_id"].eqNullSafe(cuts["__id"]) & (F.xxhash64(text_of(docs)) == cuts["__hash"])
+    text, changed = docs["text"], cuts["cuts"].isNotNull()
+    kept = F.transform(cuts["cuts"], lambda c: F.concat(text.substr((c["begin"] + 1).cast("int"), (c["start"] - c["begin"]).cast("int")), F.lit(mark)))
+    clean = F.concat(F.array_join(kept, ""), text.substr((cuts["tail"] + 1).cast("int"), F.length(text)))
+    new = {"text": F.when(changed, clean).otherwise(text)}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(changed, F.length(clean).cast(docs.schema["n_chars"].dataType)).otherwise(docs["n_chars"])
+    return docs.join(cuts, same, "left").select(*[new[c].alias(c) if c in new else docs[c] for c in docs.columns])

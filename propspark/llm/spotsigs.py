@@ -5,7 +5,7 @@ words chosen by their hash are anchors instead. Anchor and chain are one signatu
 alone rule the wanted similarity out is pruned without looking at the sets.
 
 Defined results: a null text is empty; a text without words has the empty set, and two empty sets have likeness 1; rows
-that repeat a doc_id and its text are one document; null ids come last; a single document is its own successor; an
+that repeat a doc_id and its text are one document, and each has its row; null ids come last; a single document is its own successor; an
 empty table gives an empty result; other columns are ignored.
 """
 
@@ -96,7 +96,8 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     base = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text"))
     order = stored(successors(base.select("doc_id", "text_hash").distinct()).select(
         _key("doc_id", "text_hash").alias("key"), _key("next_id", "next_hash").alias("next_key")))
-    texts = base.select(_key("doc_id", "text_hash").alias("key"), "doc_id", "text").dropDuplicates(["key"])
+    texts = base.groupBy(_key("doc_id", "text_hash").alias("key")).agg(
+        F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     sizes = stored(base.select(_key("doc_id", "text_hash").alias("key"), F.length("text").alias("n_chars")).distinct())
     asks = order.join(sizes, "key").select(F.col("next_key").alias("key"), F.col("key").alias("to"), F.floor(F.col("n_chars") / 2).cast("int").alias("half"))
     # The id goes along so that both uses of the texts read the same columns and thus share one shuffle.
@@ -104,7 +105,8 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
                                            signatures(F.col("text")).alias("next_sigs"))
     n = F.length("text")
     whole = texts.join(given, "key").select(
-        "doc_id", "next_id", n.cast("long").alias("n_chars"), "text", "next_sigs",
+        "doc_id", "next_id", n.cast("long").alias("n_chars"), "text", "next_sigs", "copies",
         F.concat(F.substring(F.col("text"), F.lit(1), n - F.floor(n / 2).cast("int")), "start").alias("edited"))
-    return whole.select("doc_id", "next_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
-                        signatures(F.col("text")).alias("sigs"), signatures(F.col("edited")).alias("edited_sigs"), "next_sigs")
+    signed = whole.select("doc_id", "next_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
+                          signatures(F.col("text")).alias("sigs"), signatures(F.col("edited")).alias("edited_sigs"), "next_sigs", "copies")
+    return signed.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copies", "copy")

@@ -28,10 +28,15 @@ TEXTS = [
     (11, "client_id: abcdef1 alone"), (12, " lead and trail "), (13, "deadbeef" * 4), (14, "idiot " * 5 + ITEM + " " + ITEM)]
 
 
+CLASHES = ["text_hash", "cuts", "tail", "copies", "copy", "words", "window_id", "start", "stop", "kind", "spans", "items", "fp", "node", "root", "set_id", "key", "row",
+           "score", "keep", "part", "__id", "__hash", "__text", "__row", "features", "fold", "base", "found", "size", "shard", "slot", "sigs", "next_id"]
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
-    rows = [(i, t, "x", "y", 0, "pos", 1) for i, t in TEXTS]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, word string, pair int")
+    # The other columns bear names that the operators use themselves.
+    rows = [(i, t, "x", "y", 0, "pos", 1, *["c"] * len(CLASHES)) for i, t in TEXTS]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, word string, pair int, " + ", ".join(f"{c} string" for c in CLASHES))
 
 
 @pytest.fixture(scope="module")
@@ -56,7 +61,9 @@ def test_components(spark):
 
 def test_decontaminate(spark, docs, none):
     items = spark.createDataFrame([(1, ITEM), (2, "Short ITEM"), (2, "Short ITEM"), (3, None), (4, "..."), (None, "lazy dog")], "item_id long, text string")
-    got = {(r.doc_id, r.text_hash): r for r in decontaminate.contamination(docs, items).collect()}
+    every = decontaminate.contamination(docs, items).collect()
+    assert Counter(r.doc_id for r in every) == Counter(i for i, _ in TEXTS)
+    got = {(r.doc_id, r.text_hash): r for r in every}
     by_id = {r.doc_id: r for r in got.values()}
     assert len(got) == len(set(TEXTS))
     assert by_id[6].n_hit == 11 and by_id[6]["items"] == ["1"] and by_id[14].n_hit == 22
@@ -218,7 +225,7 @@ def test_secrets(spark, docs, none):
     every = docs.select("doc_id", "text").unionByName(more)
     texts = {(r.doc_id, r.text or "") for r in every.collect()}
     found = secrets.report(every).collect()
-    assert len(found) == len(texts) and secrets.report(none).count() == 0
+    assert len(found) == every.count() and secrets.report(none).count() == 0
     by_id = {r.doc_id: [tuple(s) for s in r.spans] for r in found}
     for i, text in texts:
         want = sorted((m.start(), k, name, m.end()) for k, (name, p, g, least) in enumerate(PATTERNS) for m in p.finditer(text) if len(m.group(g)) >= least)
@@ -243,6 +250,7 @@ def test_spotsigs(docs, none):
         edited = texts[i][:len(texts[i]) - half] + texts[after][:half]
         assert rows[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and rows[i].next_id == after
     assert rows[1].sigs == rows[2].sigs and rows[3].sigs == []
+    assert Counter(r.doc_id for r in spotsigs.edited_pairs(docs).collect()) == Counter(i for i, _ in TEXTS)
 
 
 def test_spotsigs_without_common_words(spark):
@@ -355,6 +363,19 @@ def test_toolcalls(spark):
     assert toolcalls.link(calls.where("false"), results.where("false"), schema).count() == 0
 
 
+def test_toolcalls_parallel_and_chained(spark):
+    rows = [(1, 1, "a", "f", '{"x":1}'), (1, 1, "a", "f", '{"x":1}'), (1, 1, "a", "f", '{"x":2}'), (1, 3, "b", "f", '{"x":"\\u0024a","$c":0}')]
+    rows += [(2, k, f"k{k}", "f", json.dumps({"x": f"$k{k - 1}", "y": [f"$k{k - 2}"]})) for k in range(12)]
+    calls = spark.createDataFrame(rows, "conv_id long, turn long, call_id string, name string, arguments string")
+    results = spark.createDataFrame([(1, 9, "a", "late")], "conv_id long, turn long, call_id string, content string")
+    found = toolcalls.link(calls, results, []).collect()
+    assert len(found) == len(rows) + 1
+    assert sum("identifier repeated" in r.problems for r in found if r.call_id == "a") == 2
+    b = next(r for r in found if r.call_id == "b")
+    assert b.level == 2 and b.order_turn == 9 and "unknown reference" not in b.problems
+    assert [r.level for r in sorted((r for r in found if r.conv_id == 2), key=lambda r: r.turn)] == [2 * k for k in range(12)]
+
+
 def test_cotrain(spark, docs, none):
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert cotrain.classify(docs, empty).where("keep and score = 1").count() == len(TEXTS)
