@@ -152,32 +152,29 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
-# The conversations hold no tool calls, so the query reads every assistant turn as one: it reports the length and digest
-# of what is said, and the user's next turn is its result. Some calls refer to the result of the call before.
-REPLY_SCHEMA = (toolcalls.Param("reply", "after", "string", required=False), toolcalls.Param("reply", "chars", "integer", least=1, most=1000),
-                toolcalls.Param("reply", "digest", "string"))
+# The conversations hold no tool calls, so the query reads every assistant turn as one, which says its whole text and refers to
+# the result of the assistant's turn before it; the user's next turn is its result.
+REPLY_SCHEMA = (toolcalls.Param("reply", "after", "string", required=False), toolcalls.Param("reply", "text", "string"))
 
 
 @query("op6_toolcalls", sql="""
-WITH m AS (SELECT *, conv_id || '-' || turn AS id FROM conversations),
- calls AS (SELECT conv_id, turn, id AS call_id, length(text) AS chars, md5(text) AS digest,
-   CASE WHEN turn % 4 >= 2 THEN conv_id || '-' || (turn - 2) END AS need FROM m WHERE role = 'assistant'),
+WITH RECURSIVE m AS (SELECT *, conv_id || '-' || turn AS id FROM conversations),
+ calls AS (SELECT conv_id, turn, id AS call_id, text, CASE WHEN turn >= 2 THEN conv_id || '-' || (turn - 2) END AS need FROM m WHERE role = 'assistant'),
  results AS (SELECT conv_id, turn, conv_id || '-' || (turn - 1) AS call_id, text FROM m WHERE role = 'user' AND turn > 0),
- c AS (SELECT a.*, b.call_id IS NOT NULL AS waits, b.turn AS b_turn, r.turn AS answer, br.turn AS b_answer
-   FROM calls a LEFT JOIN calls b ON b.call_id = a.need LEFT JOIN results r ON r.call_id = a.call_id LEFT JOIN results br ON br.call_id = a.need),
+ c AS (SELECT a.*, b.call_id IS NOT NULL AS waits, r.turn AS answer
+   FROM calls a LEFT JOIN calls b ON b.call_id = a.need LEFT JOIN results r ON r.call_id = a.call_id),
+ placed AS (SELECT call_id, turn AS due, 0 AS depth, answer FROM c WHERE NOT waits
+   UNION ALL SELECT c.call_id, greatest(c.turn, placed.due, coalesce(placed.answer, placed.due)), depth + 1, c.answer FROM c JOIN placed ON c.need = placed.call_id),
  out AS (
- SELECT conv_id, turn, 'call' AS kind, call_id, answer IS NOT NULL AS linked,
-   CASE WHEN waits THEN greatest(turn, b_turn, coalesce(b_answer, b_turn)) ELSE turn END AS order_turn, CASE WHEN waits THEN 2 ELSE 0 END AS level,
-   chars BETWEEN 1 AND 1000 AS valid,
-   concat_ws(';', CASE WHEN chars < 1 THEN 'chars: too small' WHEN chars > 1000 THEN 'chars: too large' END,
-     CASE WHEN need IS NOT NULL AND NOT waits THEN 'unknown reference' END, CASE WHEN answer IS NULL THEN 'no result' END) AS problems,
-   '{"arguments":{' || CASE WHEN need IS NOT NULL THEN '"after":"$' || need || '",' ELSE '' END || '"chars":' || chars || ',"digest":"' || digest
-     || '"},"id":"' || call_id || '","name":"reply","role":"assistant"}' AS json FROM c
+ SELECT conv_id, turn, 'call' AS kind, c.call_id, c.answer IS NOT NULL AS linked, due AS order_turn, 2 * depth AS level, text IS NOT NULL AS valid,
+   concat_ws(';', CASE WHEN text IS NULL THEN 'text: missing' END, CASE WHEN need IS NOT NULL AND NOT waits THEN 'unknown reference' END, CASE WHEN c.answer IS NULL THEN 'no result' END) AS problems,
+   '{"arguments":{' || CASE WHEN need IS NOT NULL THEN '"after":"$' || need || '",' ELSE '' END || '"text":' || to_json(text)::varchar
+     || '},"id":"' || c.call_id || '","name":"reply","role":"assistant"}' AS json FROM c JOIN placed ON c.call_id = placed.call_id
  UNION ALL
- SELECT r.conv_id, r.turn, 'result', r.call_id, c.call_id IS NOT NULL, greatest(r.turn, coalesce(CASE WHEN waits THEN greatest(c.turn, b_turn, coalesce(b_answer, b_turn)) ELSE c.turn END, r.turn)),
-   CASE WHEN c.call_id IS NULL THEN 0 WHEN waits THEN 3 ELSE 1 END, c.call_id IS NOT NULL, CASE WHEN c.call_id IS NULL THEN 'no call' ELSE '' END,
+ SELECT r.conv_id, r.turn, 'result', r.call_id, c.call_id IS NOT NULL, greatest(r.turn, coalesce(due, r.turn)),
+   CASE WHEN c.call_id IS NULL THEN 0 ELSE 2 * depth + 1 END, c.call_id IS NOT NULL, CASE WHEN c.call_id IS NULL THEN 'no call' ELSE '' END,
    CAST(to_json({'content': r.text, 'id': r.call_id, 'role': 'tool'}) AS varchar)
- FROM results r LEFT JOIN c ON r.call_id = c.call_id
+ FROM results r LEFT JOIN c ON r.call_id = c.call_id LEFT JOIN placed ON r.call_id = placed.call_id
  UNION ALL
  SELECT conv_id, turn, 'message', NULL, false, turn, 0, true, '', CAST(to_json({'content': text, 'role': role}) AS varchar)
  FROM m WHERE role NOT IN ('assistant') AND NOT (role = 'user' AND turn > 0))
@@ -185,10 +182,9 @@ SELECT conv_id, turn, kind, call_id, linked, order_turn, CAST(level AS integer)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = table(spark, sf_dir, "conversations")
     name = lambda back: F.concat_ws("-", "conv_id", F.col("turn") - back)
-    after = F.when(F.col("turn") % 4 >= 2, F.concat(F.lit("$"), name(2)))
+    after = F.when(F.col("turn") >= 2, F.concat(F.lit("$"), name(2)))
     calls = said.where("role = 'assistant'").select(
-        "conv_id", "turn", name(0).alias("call_id"), F.lit("reply").alias("name"),
-        F.to_json(F.struct(F.md5(F.encode("text", "UTF-8")).alias("digest"), F.length("text").alias("chars"), after.alias("after"))).alias("arguments"))
+        "conv_id", "turn", name(0).alias("call_id"), F.lit("reply").alias("name"), F.to_json(F.struct("text", after.alias("after"))).alias("arguments"))
     results = said.where("role = 'user' and turn > 0").select("conv_id", "turn", name(1).alias("call_id"), F.col("text").alias("content"))
     rest = said.where("not coalesce(role = 'assistant' or role = 'user' and turn > 0, false)").select("conv_id", "turn", "role", F.col("text").alias("content"))
     return toolcalls.link(calls, results, REPLY_SCHEMA, rest).withColumn("problems", F.array_join("problems", ";"))

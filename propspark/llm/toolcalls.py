@@ -2,9 +2,10 @@
 
 Calls and results are hash-joined by conversation and identifier, ordered so that a call comes before its result and
 after the results it refers to, checked against parameter schemas, and serialised as canonical JSON (sorted keys, no
-spaces, numbers in one form).
+spaces, escapes in one form, numbers as a variant writes them). References are read from the parsed arguments.
 
-Defined results: of calls that repeat an identifier in a conversation the first is linked to and the others are marked;
+Defined results: of calls that repeat an identifier in a conversation the first is linked to and the others are marked,
+parallel ones of one turn too;
 several results of one call are all linked; results without a call and calls without a result are marked; arguments
 that are not a JSON object are kept as text and marked; a reference to an unknown identifier is marked and not waited
 for; calls that wait for each other have no level and are marked; rows with a null conversation or identifier link to
@@ -20,8 +21,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from propspark.llm.common import stored
 
-# A string argument "$id" stands for the result of the call with that identifier.
-REFERENCE = '"\\$([^"\\\\]+)"'
+# A string argument "$id" stands for the result of the call with that identifier; a name of a member does not.
+REFERENCE = '"\\$([^"\\\\]+)"(?!:)'
 
 
 @dataclass(frozen=True)
@@ -55,28 +56,39 @@ def problems_of(name: Column, arguments: Column, schemas: Sequence[Param]) -> Co
     return F.array_sort(F.array_compact(F.array(*found)))
 
 
+def references(arguments: Column) -> Column:
+    """The identifiers that arguments (JSON text) refer to, after parsing: escapes are read, and text that is no JSON has none."""
+    written = F.coalesce(F.to_json(F.try_parse_json(arguments)), F.lit(""))
+    return F.array_distinct(F.regexp_extract_all(written, F.lit(REFERENCE), F.lit(1)))
+
+
 def _placed(calls: DataFrame, results: DataFrame) -> DataFrame:
     """(conv_id, call_id, depth, at) of every linkable call: ``depth`` counts the calls it waits for in a row, ``at`` is
     the latest turn of itself and of what it waits for. Calls in a cycle have nulls."""
     key = ["conv_id", "call_id"]
-    needs = stored(calls.select(*key, F.explode(F.array_distinct(F.regexp_extract_all("arguments", F.lit(REFERENCE), F.lit(1)))).alias("need"))
+    needs = stored(calls.select(*key, F.explode(references(F.col("arguments"))).alias("need"))
                    .join(calls.select("conv_id", F.col("call_id").alias("need")), ["conv_id", "need"]))
     answered = results.groupBy(*key).agg(F.min("turn").alias("answer"))
     waiting = needs.select(*key).distinct()
-    done = stored(calls.join(waiting, key, "left_anti").select(*key, F.lit(0).alias("depth"), F.col("turn").alias("at")))
+    done = last = stored(calls.join(waiting, key, "left_anti").select(*key, F.lit(0).alias("depth"), F.col("turn").alias("at")))
     left = waiting.count()
+    # One round for each call in the longest chain. A round looks only at the needs that the one before has met, and stores only
+    # the calls that wait for nothing any more.
+    met = None
     while left:
-        known = done.join(answered, key, "left").select(
+        known = last.join(answered, key, "left").select(
             "conv_id", F.col("call_id").alias("need"), "depth", F.greatest("at", F.coalesce("answer", "at")).alias("at"))
-        ready = (needs.join(done.select(*key), key, "left_anti").join(known, ["conv_id", "need"], "left").groupBy(*key)
-                 .agg(F.max("depth").alias("depth"), F.max("at").alias("latest"), F.count_if(F.col("depth").isNull()).alias("missing"))
-                 .where("missing = 0"))
-        more = stored(ready.join(calls.select(*key, "turn"), key).select(
+        news = needs.join(known, ["conv_id", "need"]).select(*key, "need", "depth", "at")
+        met = stored(news if met is None else met.join(last.select(*key), key, "left_anti").unionByName(news))
+        wanted = needs.groupBy(*key).agg(F.count(F.lit(1)).alias("wanted"))
+        ready = (met.groupBy(*key).agg(F.max("depth").alias("depth"), F.max("at").alias("latest"), F.count(F.lit(1)).alias("have"))
+                 .join(wanted, key).where("have = wanted"))
+        last = stored(ready.join(calls.select(*key, "turn"), key).select(
             *key, (F.col("depth") + 1).alias("depth"), F.greatest("turn", "latest").alias("at")))
-        fresh = more.count()
+        fresh = last.count()
         if not fresh:
             break
-        done, left = stored(done.unionByName(more)), left - fresh
+        done, left = done.unionByName(last), left - fresh
     return done
 
 
@@ -88,20 +100,20 @@ def link(calls: DataFrame, results: DataFrame, schemas: Sequence[Param], message
     order_turn, level and turn is a topological order that keeps the turns where they allow it.
     """
     key = ["conv_id", "call_id"]
-    calls = stored(calls.select("conv_id", "turn", "call_id", "name", "arguments"))
+    calls = stored(calls.select("conv_id", "turn", "call_id", "name", "arguments", F.monotonically_increasing_id().alias("no")))
     results = stored(results.select("conv_id", "turn", "call_id", "content"))
     usable = calls.where("conv_id is not null and call_id is not null")
-    first = stored(usable.groupBy(*key).agg(F.min(F.struct("turn", "name", "arguments")).alias("c")).select(*key, "c.*"))
+    first = stored(usable.groupBy(*key).agg(F.min(F.struct("turn", "name", "arguments", "no")).alias("c")).select(*key, "c.*"))
     placed = stored(_placed(first, results))
-    ids = first.select(*key, F.col("turn").alias("first_turn"))
+    ids = first.select(*key, F.col("turn").alias("first_turn"), F.col("no").alias("first_no"))
     answered = results.select(*key).distinct().withColumn("answered", F.lit(True))
     known = placed.select(*key, "depth", "at")
-    unknown = (first.select(*key, F.explode(F.regexp_extract_all("arguments", F.lit(REFERENCE), F.lit(1))).alias("need"))
+    unknown = (first.select(*key, F.explode(references(F.col("arguments"))).alias("need"))
                .join(first.select("conv_id", F.col("call_id").alias("need")), ["conv_id", "need"], "left_anti")
                .groupBy(*key).agg(F.lit(True).alias("dangling")))
     parsed = F.try_parse_json("arguments")
     c = (calls.withColumn("variant", parsed).join(ids, key, "left").join(known, key, "left").join(answered, key, "left").join(unknown, key, "left"))
-    again = F.col("first_turn").isNotNull() & (F.col("turn") != F.col("first_turn"))
+    again = F.col("no") != F.col("first_no")
     extra = F.array_compact(F.array(
         F.when(F.col("first_turn").isNull(), "no identifier"), F.when(again, "identifier repeated"),
         F.when(F.col("dangling"), "unknown reference"), F.when(F.col("first_turn").isNotNull() & F.col("depth").isNull(), "waits for itself"),
