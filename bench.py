@@ -16,7 +16,7 @@ HEADLINE = [
     "joi3_cama_join", "agg2_overview", "agg3_by_municipality", "agg6_score_stats", "agg9_percentiles", "agg11_value_counts",
     "agg12_hhi", "agg15_profile", "agg19_coverage", "agg24_histogram_30", "dq1_profile", "dq4_validate",
     "dq5_assess_quality", "dq9_quality4", "dq11_outliers", "ml4_similar", "evt2_event_report", "evt6_lockouts",
-    "run1_batch_stats",
+    "run1_batch_stats", "agg21_exec_summary", "dq19_processing_report", "run6_full_report",
 ]
 
 

@@ -143,7 +143,8 @@ def value_bands(df: DataFrame) -> DataFrame:
 
 
 def score_stats(df: DataFrame, score: str = "flex_score") -> DataFrame:
-    """AGG-6."""
+    """AGG-6. The score is computed once, for the median and the other measures."""
+    df = stored(df.select(score))
     s = F.col(score)
     med = scalar_row(quantile_row(df, [score], [0.5]))
     return df.agg(
@@ -227,6 +228,7 @@ def _moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def profile(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
     """AGG-15: one row per column: n, mean, std, min, max and a ``q…`` column per probability."""
     cols = _present(df, cols)
+    df = stored(df.select(*cols))  # four passes follow
     q = exact_quantiles(df, cols, probs).groupBy("column").agg(*[
         F.max(F.when(F.col("prob") == float(p), F.col("value"))).alias(f"q{p * 100:g}") for p in probs])
     return _moments(df, cols).join(F.broadcast(q), "column", "left")
@@ -347,7 +349,9 @@ def value_chars(df: DataFrame) -> DataFrame:
 
 
 def exec_summary(df: DataFrame, runs: DataFrame | None = None, score: str = "flex_score") -> DataFrame:
-    """AGG-21: one row about the table, with totals of the per-file ``runs`` when they are given."""
+    """AGG-21: one row about the table, with totals of the per-file ``runs`` when they are given. The columns it reads are
+    computed once."""
+    df = stored(df.select(*dict.fromkeys([score, "lot_size_acres", "improvement_value", "state", "city", "county"])))
     s = F.col(score)
     med = scalar_row(quantile_row(df, [score], [0.5]))
     out = df.agg(
@@ -394,7 +398,7 @@ def uniques(df: DataFrame, col: str) -> DataFrame:
 
 def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
     """AGG-24: equal-width bins between minimum and maximum; the last bin is closed; empty bins are kept."""
-    v = df.select(typed(df, col).alias("v")).where(F.col("v").isNotNull())
+    v = stored(df.select(typed(df, col).alias("v")).where(F.col("v").isNotNull()))
     ends = v.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     lo, hi = F.col("__row")["lo"], F.col("__row")["hi"]
     at = F.when(hi > lo, F.least(F.floor((F.col("v") - lo) / (hi - lo) * bins), F.lit(bins - 1))).otherwise(0)

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from propspark.functions.quantiles import exact_quantiles, quantile_name, quantile_row, with_row
+from propspark.functions.store import stored
 from propspark.functions.text import clean_numeric, guarded_double
 from propspark.operators.analytics import profile, value_counts
 from propspark.operators.clean import numeric_columns, text_columns, text_values
@@ -294,7 +295,7 @@ def mark_outliers(df: DataFrame, cols: Sequence[str], prefix: str = "__o") -> Da
 
 def outliers(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """DQ-11: rows (column, n_outliers, pct)."""
-    marked = mark_outliers(df.select(*cols), cols)
+    marked = mark_outliers(stored(df.select(*cols)), cols)  # three passes for the bounds, one for the counts
     parts = [F.struct(F.lit(c).alias("column"), F.count_if(f"__o{i}").alias("n_outliers"),
                       (ratio(F.count_if(f"__o{i}"), F.count("*")) * 100).alias("pct")) for i, c in enumerate(cols)]
     return marked.agg(F.array(*parts).alias("a")).select(F.inline("a"))
@@ -315,6 +316,7 @@ def case_variants(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def quality4(df: DataFrame) -> DataFrame:
     """DQ-9: one row: completeness, consistency, validity, uniqueness, their mean and validity (mean above .3)."""
+    df = stored(df)  # five passes follow
     numbers, words, n_cols = numeric_columns(df), text_columns(df), len(df.columns)
     cells = sum([F.count(q(c)) for c in df.columns])
     negative = {c: q(c) < 0 for c in numbers if c.lower() in NEVER_NEGATIVE}
@@ -445,7 +447,11 @@ def split_quarantine(df: DataFrame, numeric: Sequence[str]) -> tuple[DataFrame,
 
 
 def processing_report(df: DataFrame, numeric: Sequence[str]) -> DataFrame:
-    """DQ-19: rows (section, key, value): nulls per column, outliers, type changes, score parts, recommendations."""
+    """DQ-19: rows (section, key, value): nulls per column, outliers, type changes, score parts, recommendations.
+
+    The input is computed once; every part reads the columns it needs of the stored rows.
+    """
+    df = stored(df)
     n = F.count("*")
     null_items = F.array(*[F.struct(F.lit("null_handling").alias("section"), F.lit(c).alias("key"), F.count_if(q(c).isNull()).cast("double").alias("value"),
                                     (F.count_if(q(c).isNull()) / n > 0.3).alias("alarm")) for c in df.columns])
