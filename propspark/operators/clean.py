@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -49,14 +49,38 @@ def text_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.select(F.inline(pairs)).groupBy("column", "value").agg(F.count("*").alias("n"))
 
 
+def hash128(*values: Column) -> list[Column]:
+    """Two independent 64-bit hashes of the values; NULL is a value of its own."""
+    flagged = [x for v in values for x in (v, v.isNull())]
+    return [F.xxhash64(*flagged), F.xxhash64(F.lit(1), *flagged)]
+
+
+def value_keys(df: DataFrame, cols: Sequence[str], **facts: Callable[[Column], Column]) -> DataFrame:
+    """(column, known, n, facts…): one row per distinct value of every column, NULL included.
+
+    Values are told apart by 128 bits and their facts are taken along, so the size of a shuffled row does not depend on
+    the texts. Two of 10^15 values share their bits with a chance of about 10^-9.
+    """
+    value = F.col("value")
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols])
+    first, second = hash128(value)
+    rows = df.select(F.inline(pairs)).select("column", first.alias("h1"), second.alias("h2"), value.isNotNull().alias("known"),
+                                             *[fact(value).alias(name) for name, fact in facts.items()])
+    return rows.groupBy("column", "h1", "h2").agg(
+        F.any_value("known").alias("known"), F.count("*").alias("n"), *[F.any_value(name).alias(name) for name in facts]).drop("h1", "h2")
+
+
 def detect_numeric(df: DataFrame, cols: Sequence[str] | None = None, low: float = 0.8) -> DataFrame:
     """CLN-3: per text column the share of its distinct values that look like numbers, and the target type."""
-    values = text_values(df, cols or text_columns(df)).where(F.col("value").isNotNull())
-    t = F.trim("value")
-    empty = F.lower(t).isin("nan", "null", "none", "")
-    number = ~empty & looks_numeric(t)
-    stripped = guarded_double(F.regexp_replace(t, "[$,%]", ""))
-    checked = values.select("column", number.alias("number"), (stripped != F.floor(stripped)).alias("fraction"))
+    def number(value: Column) -> Column:
+        t = F.trim(value)
+        return ~F.lower(t).isin("nan", "null", "none", "") & looks_numeric(t)
+
+    def fraction(value: Column) -> Column:
+        stripped = guarded_double(F.regexp_replace(F.trim(value), "[$,%]", ""))
+        return stripped != F.floor(stripped)
+
+    checked = value_keys(df, cols or text_columns(df), number=number, fraction=fraction).where("known")
     out = checked.groupBy("column").agg(
         F.count("*").alias("total_count"), F.count_if("number").alias("numeric_count"),
         F.coalesce(F.bool_or("fraction"), F.lit(False)).alias("fraction"))
@@ -69,10 +93,10 @@ def detect_numeric(df: DataFrame, cols: Sequence[str] | None = None, low: float
 
 def assess(df: DataFrame, cols: Sequence[str], low: float = 0.8) -> DataFrame:
     """CLN-4: success share of a plain cast over all non-null values and the NULLs to expect."""
-    values = text_values(df, cols)
-    ok = F.sum(F.when(guarded_double(F.col("value")).isNotNull(), F.col("n")).otherwise(0))
-    known = F.sum(F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0))
-    out = values.groupBy("column").agg(known.alias("known"), ok.alias("ok"), F.sum("n").alias("rows"))
+    value = lambda c: F.col(c).cast("string")
+    parts = [F.struct(F.lit(c).alias("column"), F.count(value(c)).alias("known"), F.count(guarded_double(value(c))).alias("ok"), F.count("*").alias("rows"))
+             for c in cols]
+    out = df.agg(F.array(*parts).alias("a")).select(F.inline("a")).where("rows > 0")
     confidence = F.coalesce(F.try_divide(F.col("ok").cast("double"), F.col("known")), F.lit(0.0))
     lost = F.floor(F.try_divide((F.col("known") - F.col("ok")).cast("double"), F.col("known")) * F.col("rows"))
     return out.select("column", confidence.alias("confidence"), (confidence >= low).alias("feasible"),

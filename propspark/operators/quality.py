@@ -11,7 +11,7 @@ from propspark.functions.quantiles import exact_quantiles, quantile_name, quanti
 from propspark.functions.store import stored
 from propspark.functions.text import clean_numeric, guarded_double
 from propspark.operators.analytics import profile, value_counts
-from propspark.operators.clean import numeric_columns, text_columns, text_values
+from propspark.operators.clean import hash128, numeric_columns, text_columns, value_keys
 from propspark.operators.schema import DASHBOARD_REQUIRED, find_column
 
 # Fields, bounds and penalties of the quality rules.
@@ -50,11 +50,10 @@ def profile_columns(df: DataFrame, cols: Sequence[str] | None = None, exact: boo
     sizes = [F.avg(length).alias("avg_length"), F.max(length).alias("max_length"), F.min(length).alias("min_length")]
     total = F.sum("n")
     if exact:
-        base = text_values(df, cols)
-        weighted = F.sum(length * F.col("n")) / F.sum(F.when(F.col("value").isNotNull(), F.col("n")))
-        stats = base.groupBy("column").agg(
-            total.alias("n_rows"), F.sum(F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0)).alias("non_null_count"),
-            F.count("value").alias("unique_count"), weighted.alias("avg_length"), *sizes[1:])
+        known, size = F.col("known"), F.col("length")
+        stats = value_keys(df, cols, length=F.length).groupBy("column").agg(
+            total.alias("n_rows"), F.sum(F.when(known, F.col("n")).otherwise(0)).alias("non_null_count"), F.count_if(known).alias("unique_count"),
+            (F.sum(size * F.col("n")) / F.sum(F.when(known, F.col("n")))).alias("avg_length"), F.max(size).alias("max_length"), F.min(size).alias("min_length"))
     else:
         pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols])
         stats = df.select(F.inline(pairs)).groupBy("column").agg(
@@ -308,8 +307,8 @@ def outlier_rows(df: DataFrame, col: str) -> DataFrame:
 
 def case_variants(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Per text column: distinct values, distinct lower-cased values, and whether they differ."""
-    values = text_values(df, cols).where(F.col("value").isNotNull())
-    folded = values.groupBy("column", F.lower("value").alias("l")).agg(F.count("*").alias("n"))
+    fold = lambda v: F.struct(*[h.alias(n) for h, n in zip(hash128(F.lower(v)), "ab")])
+    folded = value_keys(df, cols, fold=fold).where("known").groupBy("column", "fold").agg(F.count("*").alias("n"))
     return folded.groupBy("column").agg(F.sum("n").alias("n_values"), F.count("*").alias("n_folded"),
                                         (F.sum("n") > F.count("*")).alias("inconsistent"))
 
@@ -329,7 +328,8 @@ def quality4(df: DataFrame) -> DataFrame:
             score = F.when(F.count_if(negative[c]) > 0, F.least(score, F.lit(0.8))).otherwise(score)
         validity = validity + score
     bad_case = case_variants(df, words).agg(F.count_if("inconsistent").alias("n")).scalar() if words else F.lit(0)
-    unique = df.dropDuplicates().agg(F.count("*").alias("n")).scalar()
+    first, second = hash128(*[q(c) for c in df.columns])  # rows are told apart by 128 bits
+    unique = df.select(first.alias("a"), second.alias("b")).distinct().agg(F.count("*").alias("n")).scalar()
     out = marked.agg(F.count("*").alias("n_rows"), ratio(cells, F.count("*") * n_cols).alias("completeness"),
                      (validity / n_cols).alias("validity"))
     scores = ["completeness", "consistency", "validity", "uniqueness"]
@@ -396,11 +396,16 @@ def report_quality(df: DataFrame, fields: Sequence[str] = tuple(REPORT_FIELDS),
 
 def issues(df: DataFrame, max_null: float = 50.0, min_unique: float = 5.0) -> DataFrame:
     """DQ-14: rows (column, issue, pct): columns that are mostly empty and text columns with few distinct values."""
-    base = text_values(df, df.columns).groupBy("column").agg(
-        F.sum("n").alias("n"), F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("nulls"),
-        F.count("value").alias("u"))
+    words = text_columns(df)
+    counts = df.agg(F.array(*[F.struct(F.lit(c).alias("column"), F.count("*").alias("n"), F.count_if(q(c).isNull()).alias("nulls")) for c in df.columns]).alias("a"))
+    base = counts.select(F.inline("a"))
+    if words:
+        distinct = value_keys(df, words).groupBy("column").agg(F.count_if("known").alias("u"))
+        base = base.join(F.broadcast(distinct), "column", "left")  # one row a column
+    else:
+        base = base.withColumn("u", F.lit(None).cast("bigint"))
     nulls, unique = ratio(F.col("nulls"), F.col("n")) * 100, ratio(F.col("u"), F.col("n")) * 100
-    text = F.col("column").isin(text_columns(df))
+    text = F.col("column").isin(words)
     found = F.array_compact(F.array(
         F.when(nulls > max_null, F.struct(F.lit("high_missing").alias("issue"), nulls.alias("pct"))),
         F.when(text & (unique < min_unique) & (F.col("u") > 1), F.struct(F.lit("low_diversity").alias("issue"), unique.alias("pct")))))
