@@ -4,6 +4,7 @@ import os
 import shutil
 import tempfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,6 +124,28 @@ def test_segments_cover_all_rows(spark):
     assert sorted(r["n"] for r in sizes) == [100, 100] and inertia > 0
 
 
+def test_all_starts_step_together(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(c, 1.0, (150, 2)) for c in ((0, 0), (9, 1), (4, 8))])
+    points = spark.createDataFrame(x.tolist(), "a double, b double").repartition(3)
+    starts = np.stack([x[rng.choice(len(x), 3, replace=False)] for _ in range(6)])
+    calls, real = [], ml._lloyd_pass
+    monkeypatch.setattr(ml, "_lloyd_pass", lambda p, c: calls.append(len(c)) or real(p, c))
+    centres, inertia, passes = ml.lloyd(points, starts)
+    slowest = 0
+    for s in range(6):
+        c, steps = starts[s].copy(), 0
+        while True:
+            own = ((x[:, None] - c) ** 2).sum(axis=2).argmin(axis=1)
+            after = np.array([x[own == k].mean(axis=0) if (own == k).any() else c[k] for k in range(3)])
+            steps, moved, c = steps + 1, np.sqrt(((after - c) ** 2).sum(axis=1)).max(), after
+            if moved <= 1e-4:
+                break
+        slowest = max(slowest, steps)
+        assert np.allclose(centres[s], c) and np.isclose(inertia[s], ((x - c[((x[:, None] - c) ** 2).sum(axis=2).argmin(axis=1)]) ** 2).sum())
+    assert passes == len(calls) == slowest + 1 and calls[0] == 6
+
+
 def test_user_functions(spark):
     df = spark.createDataFrame([(1.0,), (2.0,)], "x double")
     assert [r["s"] for r in udf.score_with(df, lambda x: x * 2, ["x"], "s").collect()] == [2.0, 4.0]
