@@ -112,7 +112,7 @@ def dup_members(df: DataFrame, n: int = 10, fields: Sequence[str] = DEFAULT_FIEL
 
 
 def mark_dups(df: DataFrame, cols: Sequence[str], name: str = "is_duplicate",
-              salt_by: Sequence[str] | None = None, min_rows: int = 1_000_000) -> DataFrame:
+              salt_by: Sequence[str] | None = None, min_rows: int | None = None) -> DataFrame:
     """WIN-6: true for every member of a group with more than one row; NULLs are equal to each other."""
     counted = with_group_count(df, cols, "__n", salt_by=salt_by, min_rows=min_rows)
     return counted.withColumn(name, F.col("__n") > 1).drop("__n")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from propspark.functions.ffill import forward_fill
 from propspark.functions.quantiles import exact_quantiles
-from propspark.functions.skew import hot_keys, lookup_join, with_group_count
+from propspark.functions.skew import hot_buckets, lookup_join, with_group_count
 from propspark.operators import dedupe, enrich, events
 
 PROBS = [0.0, 0.1, 0.25, 0.5, 0.8, 1.0]
@@ -72,8 +72,18 @@ def skewed(spark, n=3000):
 
 
 def test_hot_keys_are_found_and_bounded(spark):
-    hot = hot_keys(skewed(spark), ["k"], min_rows=500).collect()
-    assert len(hot) == 1
+    assert len(hot_buckets(skewed(spark), ["k"], min_rows=500).collect()) == 1
+    # without a number of rows: a third of all rows is more than a task of 4 should have only if that is under twice the mean
+    assert hot_buckets(skewed(spark), ["k"]).count() == 0
+    many = spark.range(4000).select(F.concat(F.lit("k"), F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id")).cast("string")).alias("k"))
+    assert [r[1] for r in hot_buckets(many, ["k"]).collect()] == [2]
+
+
+def test_no_number_of_heavy_keys_is_too_many(spark):
+    left = spark.range(6000).select("id", (F.col("id") % 3000).alias("k"))
+    right = spark.range(3000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    out = lookup_join(left, right, ["k"], "left", salt_by=["id"], min_rows=2)
+    assert sorted(out.select("id", "v").collect()) == sorted(left.join(right, "k").select("id", "v").collect())
 
 
 @pytest.mark.parametrize("how", ["left", "inner"])
