@@ -450,10 +450,56 @@ def test_best_fit(lengths, most):
     assert all(v <= 64 for v in used.values())
 
 
+def plain_best_fit(lengths, size):
+    """Number of bins when each piece goes to the fullest bin that has room, all bins staying open."""
+    free = []
+    for n in lengths:
+        room = [f for f in free if f >= n]
+        if room:
+            free.remove(min(room))
+            free.append(min(room) - n)
+        else:
+            free.append(size - n)
+    return len(free)
+
+
+def test_packing_is_close_to_plain_best_fit(spark, sf):
+    rows = packing.pack(spark.read.parquet(f"{sf}/documents.parquet")).collect()
+    plain = plain_best_fit([r.length for r in rows], 1024)
+    assert len({r.sequence_id for r in rows}) <= 1.05 * plain + 1
+
+
+def brute_words(text):
+    low = (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    return re.findall("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+
+
 def test_pipeline(spark, sf):
+    """Every stage on what the stage before it kept, against brute force."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["quality", "near_duplicates", "benchmark_passages", "secret_spans", "packed"]
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, sf).columns == docs.columns
+    stages = dict(corpus_pipeline.STAGES)
+    good = corpus_pipeline.stored(stages["quality"](spark, docs, sf))
+    bad = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality = 0 or toxic = 1").collect()}
+    kept = {r.doc_id for r in good.collect()}
+    assert good.columns == docs.columns and len(kept & bad) <= 0.1 * len(bad) and len(kept) > 0.5 * docs.count()
+    single = corpus_pipeline.stored(stages["near_duplicates"](spark, good, sf))
+    rows = sorted((r.doc_id, r.text) for r in good.collect())
+    assert single.columns == docs.columns and {r.doc_id for r in single.collect()} == brute_kept(rows)
+    clean = corpus_pipeline.stored(stages["benchmark_passages"](spark, single, sf))
+    windows = set()
+    for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
+        w = brute_words(r.text)
+        windows |= {tuple(w[k:k + 10]) for k in range(max(1, len(w) - 9))} if w else set()
+    sizes = {len(w) for w in windows}
+    hit = {r.doc_id for r in single.collect() for w in [brute_words(r.text)] for n in sizes for k in range(len(w) - n + 1) if tuple(w[k:k + n]) in windows}
+    assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {r.doc_id for r in single.collect()} - hit
+    hidden = corpus_pipeline.stored(stages["secret_spans"](spark, clean, sf))
+    assert hidden.columns == docs.columns and hidden.count() == clean.count()
+    for r in hidden.collect():
+        assert not any(len(m.group(g)) >= least for _, p, g, least in PATTERNS for m in p.finditer(r.text or ""))
+    exact = packing.encoder(packing.TOKENIZER).exact
+    tokens = {r.doc_id: exact.encode(r.text or "", add_special_tokens=False).ids + [2] for r in hidden.collect()}
+    check_packing(stages["packed"](spark, hidden, sf).collect(), tokens)
     assert corpus_pipeline.run(spark, sf).count() > 0
