@@ -52,7 +52,11 @@ def keep_one(df: DataFrame, keys: Sequence[str], order: Column, keep_all: Column
     if keep_all is None:
         return picked.select("__row.*")
     copies = F.when(F.col("__own").isNotNull(), F.col("__n")).otherwise(F.lit(1).cast("bigint"))
-    return picked.select("__row", F.explode(F.sequence(F.lit(1).cast("bigint"), copies)).alias("__i")).select("__row.*")
+    # Unfolded in two steps, so that no list is longer than the root of the number of copies.
+    one, step = F.lit(1).cast("bigint"), F.ceil(F.sqrt("__copies"))
+    runs = picked.select("__row", copies.alias("__copies")).select("__row", "__copies", F.explode(F.sequence(one, F.ceil(F.col("__copies") / step))).alias("__run"))
+    left = F.least(step, F.col("__copies") - (F.col("__run") - 1) * step)
+    return runs.select("__row", F.explode(F.sequence(one, left)).alias("__i")).select("__row.*")
 
 
 def dedupe_best(df: DataFrame, fields: Sequence[str] = DEFAULT_FIELDS, score: str = "flex_score",

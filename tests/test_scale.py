@@ -149,6 +149,12 @@ def test_dedupe_keeps_best_and_blank_rows(spark):
     assert sorted(r["rid"] for r in dedupe.dedupe_best(listed(spark), strict_reference=True).collect()) == ["b", "d", "f"]
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 16, 17, 1000])
+def test_every_copy_of_a_blank_row_stays(spark, n):
+    rows = spark.range(n).select(F.lit("").alias("address"), F.lit(None).cast("string").alias("city"), F.lit("").alias("state"), F.lit(1.0).alias("flex_score"))
+    assert dedupe.dedupe_best(rows).count() == n
+
+
 def test_dedupe_first_and_idempotent(spark):
     first = dedupe.dedupe_first(listed(spark), ["row_pos"], strict_reference=True)
     assert sorted(r["rid"] for r in first.collect()) == ["a", "c", "e"]
