@@ -293,6 +293,20 @@ class Block:
                 node, bit = (byte >> (8 - j)) | (1 << j), (byte >> (7 - j)) & 1
                 for k, slot in enumerate(slots([c[at] for c in keys], node, bits)):
                     np.add.at(tables[k], slot * 2 + bit, own)
+        for rows, (_, bit, at, _, _) in rest_bits(*self.rest(), bits):
+            own = self.total[rows].astype(tables[0].dtype)
+            for k, slot in enumerate(at):
+                np.add.at(tables[k], slot * 2 + bit, own)
+
+
+def rest_bits(row: np.ndarray, w: np.ndarray, bits: tuple[int, ...], step: int = 65536) -> Iterator[tuple[np.ndarray, tuple]]:
+    """(rows, arguments of :meth:`Model.costs`) of the bits of :meth:`Block.rest`; nothing is known of the word so far."""
+    for at in range(0, len(row), step):
+        part, byte = w[at:at + step], w[at:at + step] & _U(255)
+        keys, none = contexts(part >> _U(8), False), np.zeros(len(part), np.int64)
+        for j in range(8):
+            node, bit = (byte >> _U(8 - j)) | _U(1 << j), ((byte >> _U(7 - j)) & _U(1)).astype(np.int64)
+            yield row[at:at + step], (j, bit, slots(keys, node, bits), [none] * 4, False)
 
 
 def shared_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -330,7 +344,7 @@ class Model:
         for k in (0, 2):
             n0, n1 = so_far[k], so_far[k + 1]
             if without:
-                n0, n1 = n0 - ~one, n1 - one
+                n0, n1 = n0 - (~one & (n0 > 0)), n1 - (one & (n1 > 0))  # beyond REACH nothing is counted
             x[:, ORDERS + k // 2] = np.log(n1 + 0.4) - np.log(n0 + 0.4)
             total = n0 + n1
             levels.append((total > 0).astype(np.int64) + (total > 1) + (total > 3) + (total > 15) + (total > 255))
@@ -407,12 +421,8 @@ class Model:
         row, w = block.rest()
         if len(row):
             rest = np.zeros(len(block.size))
-            for at in range(0, len(row), 65536):
-                part, byte = w[at:at + 65536], w[at:at + 65536] & _U(255)
-                keys, none = contexts(part >> _U(8), False), np.zeros(len(part), np.int64)
-                for j in range(8):
-                    node, bit = (byte >> _U(8 - j)) | _U(1 << j), ((byte >> _U(7 - j)) & _U(1)).astype(np.int64)
-                    np.add.at(rest, row[at:at + 65536], self.costs(j, bit, slots(keys, node, self.bits), [none] * 4, False))
+            for rows, args in rest_bits(row, w, self.bits):
+                np.add.at(rest, rows, self.costs(*args))
             out += rest[block.row]
         return out
 
@@ -423,6 +433,12 @@ class Model:
             if len(seen):
                 j, bit, at, so_far, head = args
                 self.learn(j, bit[seen], [s[seen] for s in at], [s[seen] for s in so_far], head, own[seen], bends, followed, mass)
+        row, w = block.rest()
+        learned = block.total[row] > 0
+        row, w = row[learned], w[learned]
+        order = np.random.default_rng(seed).permutation(len(row))
+        for rows, args in rest_bits(row[order], w[order], self.bits, HEADS):
+            self.learn(*args, block.total[rows], bends, followed, mass)
 
     def learn_heads(self, w: np.ndarray, n: np.ndarray, bends, followed, mass, seed: int) -> None:
         order = np.random.default_rng(seed).permutation(len(w))
