@@ -100,8 +100,8 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
         F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     sizes = stored(base.select(_key("doc_id", "text_hash").alias("key"), F.length("text").alias("n_chars")).distinct())
     asks = order.join(sizes, "key").select(F.col("next_key").alias("key"), F.col("key").alias("to"), F.floor(F.col("n_chars") / 2).cast("int").alias("half"))
-    # The id goes along so that both uses of the texts read the same columns and thus share one shuffle.
-    given = texts.join(asks, "key").select(F.col("to").alias("key"), F.col("doc_id").alias("next_id"), F.substring(F.col("text"), F.lit(1), F.col("half")).alias("start"),
+    # The id and the copies (1 at least) are read so that both uses of the texts read the same columns and thus share one shuffle.
+    given = texts.where("copies > 0").join(asks, "key").select(F.col("to").alias("key"), F.col("doc_id").alias("next_id"), F.substring(F.col("text"), F.lit(1), F.col("half")).alias("start"),
                                            signatures(F.col("text")).alias("next_sigs"))
     n = F.length("text")
     whole = texts.join(given, "key").select(
