@@ -62,34 +62,71 @@ def references(arguments: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(written, F.lit(REFERENCE), F.lit(1)))
 
 
+def _followed(single: DataFrame) -> DataFrame:
+    """Chains of calls that wait for one call each, followed to their ends. ``single``: no, to, hops, top. ``to`` becomes the first
+    call of the chain that waits for none or for several; calls that only lead to a cycle are left out.
+
+    Every round doubles the number of calls that are stepped over, so it takes the logarithm of the longest chain.
+    """
+    inner = single.select(F.col("no").alias("to"), F.lit(True).alias("open"))
+    flagged = stored(single.join(inner, "to", "left").select(
+        "no", "to", "hops", "top", F.coalesce("open", F.lit(False)).alias("open")))
+    closed, ahead = flagged.where("not open"), flagged.where("open")
+    left, steps = ahead.count(), 1
+    most = left + 1  # calls in the longest chain
+    while left and steps < 2 * most:
+        beyond = closed.unionByName(ahead).select(F.col("no").alias("to"), F.col("to").alias("end"), F.col("hops").alias("more"),
+                                                  F.col("top").alias("later"), F.col("open").alias("goes_on"))
+        moved = stored(ahead.join(beyond, "to").select(
+            "no", F.col("end").alias("to"), (F.col("hops") + F.col("more")).alias("hops"), F.greatest("top", "later").alias("top"),
+            F.col("goes_on").alias("open")))
+        closed, ahead = closed.unionByName(moved.where("not open")), moved.where("open")
+        left, steps = ahead.count(), 2 * steps
+    return closed.drop("open")
+
+
 def _placed(calls: DataFrame, results: DataFrame) -> DataFrame:
     """(conv_id, call_id, depth, at) of every linkable call: ``depth`` counts the calls it waits for in a row, ``at`` is
     the latest turn of itself and of what it waits for. Calls in a cycle have nulls."""
     key = ["conv_id", "call_id"]
-    needs = stored(calls.select(*key, F.explode(references(F.col("arguments"))).alias("need"))
-                   .join(calls.select("conv_id", F.col("call_id").alias("need")), ["conv_id", "need"]))
     answered = results.groupBy(*key).agg(F.min("turn").alias("answer"))
-    waiting = needs.select(*key).distinct()
-    done = last = stored(calls.join(waiting, key, "left_anti").select(*key, F.lit(0).alias("depth"), F.col("turn").alias("at")))
-    left = waiting.count()
-    # One round for each call in the longest chain. A round looks only at the needs that the one before has met, and stores only
-    # the calls that wait for nothing any more.
-    met = None
-    while left:
-        known = last.join(answered, key, "left").select(
-            "conv_id", F.col("call_id").alias("need"), "depth", F.greatest("at", F.coalesce("answer", "at")).alias("at"))
-        news = needs.join(known, ["conv_id", "need"]).select(*key, "need", "depth", "at")
-        met = stored(news if met is None else met.join(last.select(*key), key, "left_anti").unionByName(news))
-        wanted = needs.groupBy(*key).agg(F.count(F.lit(1)).alias("wanted"))
-        ready = (met.groupBy(*key).agg(F.max("depth").alias("depth"), F.max("at").alias("latest"), F.count(F.lit(1)).alias("have"))
-                 .join(wanted, key).where("have = wanted"))
-        last = stored(ready.join(calls.select(*key, "turn"), key).select(
-            *key, (F.col("depth") + 1).alias("depth"), F.greatest("turn", "latest").alias("at")))
-        fresh = last.count()
-        if not fresh:
-            break
-        done, left = done.unionByName(last), left - fresh
-    return done
+    asked = calls.select("no", "conv_id", "turn", F.explode(references(F.col("arguments"))).alias("need"))
+    target = calls.select("conv_id", F.col("call_id").alias("need"), F.col("no").alias("to")).join(
+        answered.withColumnRenamed("call_id", "need"), ["conv_id", "need"], "left")
+    # From here on calls go by their numbers. ``top``: the latest turn on the way, without the end's own.
+    needs = stored(asked.join(target, ["conv_id", "need"]).select("no", "to", F.greatest("turn", "answer").alias("top")))
+    turns = calls.select("no", "turn")
+    wanted = stored(needs.groupBy("no").agg(F.count(F.lit(1)).alias("wanted")))
+    single = needs.join(wanted.where("wanted = 1"), "no").select("no", "to", F.lit(1).alias("hops"), "top")
+    chains = stored(_followed(single))
+    several = wanted.where("wanted > 1")
+    done = last = stored(turns.join(wanted, "no", "left_anti").select("no", F.lit(0).alias("depth"), F.col("turn").alias("at")))
+    left = several.count()
+    if left:
+        # What several needs wait for, past the chains.
+        end = chains.select(F.col("no").alias("to"), F.col("to").alias("end"), "hops", F.col("top").alias("later"))
+        leads = needs.join(several, "no").join(end, "to", "left")
+        waits = wanted.where("wanted = 1").select(F.col("no").alias("to")).join(chains.select(F.col("no").alias("to")), "to", "left_anti")
+        stuck = leads.join(waits, "to", "left_semi").select("no").distinct()  # waits for a cycle
+        links = stored(leads.join(stuck, "no", "left_anti").select(
+            "no", F.coalesce("end", "to").alias("need"), (F.coalesce("hops", F.lit(0)) + 1).alias("hops"), F.greatest("top", "later").alias("top")))
+        # One round for each call with several needs in the longest chain. A round looks only at the needs that the one before has
+        # met, and stores only the calls that wait for nothing any more.
+        met = None
+        while left:
+            known = last.select(F.col("no").alias("need"), "depth", "at")
+            news = links.join(known, "need").select("no", (F.col("depth") + F.col("hops")).alias("depth"), F.greatest("at", "top").alias("at"))
+            met = stored(news if met is None else met.join(last.select("no"), "no", "left_anti").unionByName(news))
+            ready = (met.groupBy("no").agg(F.max("depth").alias("depth"), F.max("at").alias("at"), F.count(F.lit(1)).alias("have"))
+                     .join(several, "no").where("have = wanted"))
+            last = stored(ready.select("no", "depth", "at"))
+            fresh = last.count()
+            if not fresh:
+                break
+            done, left = done.unionByName(last), left - fresh
+    chained = chains.join(done.select(F.col("no").alias("to"), "depth", "at"), "to").select(
+        "no", (F.col("depth") + F.col("hops")).alias("depth"), F.greatest("at", "top").alias("at"))
+    return calls.select(*key, "no").join(done.unionByName(chained), "no").select(*key, "depth", "at")
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: Sequence[Param], messages: DataFrame | None = None) -> DataFrame:
