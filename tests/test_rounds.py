@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from propspark.llm import lm, spotsigs, toolcalls
-from propspark.operators import dedupe, ml
+from propspark.operators import dedupe, enrich, ml, recommend
+from propspark.plans import catalogue, pipelines
 from tests.test_plans import plan
 
 
@@ -59,6 +60,8 @@ def test_features_are_computed_once(spark):
     df = spark.range(50).select(F.col("id").alias("rid"), slow(F.col("id").cast("double")).alias("rent"))
     ml.fit_features(df)
     assert seen.value == 50
+    assert ml.fit_features(df.withColumn("noi", F.lit(None))).names == ["rent"]
+    seen.value = 50
     assert ml.drop_anomalies(df, ["rid"], trees=5).count() == 45
     assert seen.value == 100
 
@@ -138,3 +141,36 @@ def test_levels_of_chains_branches_and_cycles(spark, monkeypatch):
     assert {r["call_id"] for r in out if r["level"] is None} == {"x0", "x1", "x2", "y", "z", "own"}
     assert all("waits for itself" in r["problems"] for r in out if r["level"] is None)
     assert len(written) < 40  # before: two for each of the 40 calls in a row
+
+
+def counted(spark, df, column):
+    """``df`` with a counter of how often the rows' ``column`` is computed."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def touched(v):
+        seen.add(1)
+        return v
+
+    return df.withColumn(column, F.udf(touched, df.schema[column].dataType).asNondeterministic()(column)), seen
+
+
+def test_rows_are_computed_once(spark):
+    rows = [(f"r{i}", f"{i // 3} Main Street", "X", "FL", float(i)) for i in range(30)]
+    base = spark.createDataFrame(rows, "rid string, address string, city string, state string, flex_score double")
+    df, seen = counted(spark, base, "address")
+    assert dedupe.dup_members(df).count() == 30 and seen.value == 30
+    df, seen = counted(spark, base, "city")
+    assert recommend.quality_recs(df).count() > 0 and seen.value == 30
+    df, seen = counted(spark, base.withColumnRenamed("address", "parcel_id"), "parcel_id")
+    roll = spark.createDataFrame([("0 Main Street", "n", "x")], "PARID string, roll_no string, JV string")
+    out = enrich.cama_join(df.select("rid", "parcel_id"), roll, ["roll_no"], keep=["roll_no"])
+    assert out.columns == ["rid", "parcel_id", "roll_no", "status", "data_quality"]
+    assert out.where("roll_no = 'n'").count() == 3 and seen.value == 30
+    assert enrich.cama_join(df.select("rid", "parcel_id"), roll, ["roll_no"]).columns == ["rid", "parcel_id", "PARID", "roll_no", "JV", "status", "data_quality"]
+
+
+def test_the_report_computes_component_stats_once(spark, sf, monkeypatch):
+    calls, real = [], pipelines.agg.component_stats
+    monkeypatch.setattr(pipelines.agg, "component_stats", lambda df: calls.append(real(df).where("column <> 'tagged'")) or calls[-1])
+    text = plan(catalogue.QUERIES["run6_full_report_all_sections"](spark, sf))
+    assert 0 < text.count("tagged") == plan(calls[0]).count("tagged")
