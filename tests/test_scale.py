@@ -67,6 +67,32 @@ def test_empty_column_has_no_quantiles(spark):
     assert exact_quantiles(spark.createDataFrame([(None,)], "x double"), ["x"], [0.5]).count() == 0
 
 
+def final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_quantiles_neither_sort_rows_nor_read_them_without_need(spark, tmp_path):
+    rows = [(float(i % 5), random.Random(i).random() * 1e-9 + 1.0, random.Random(-i).gauss(0, 3)) for i in range(4000)]
+    spark.createDataFrame(rows, "few double, near double, many double").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    for cols, scans in ((["few"], 1), (["few", "near", "many"], 3)):
+        found = exact_quantiles(df, cols, PROBS)
+        plan = final_plan(found)
+        assert "SortAggregate" not in plan and plan.count("Scan parquet") <= scans
+        got = {(r["column"], r["prob"]): r["value"] for r in found.collect()}
+        for c in cols:
+            want = np.quantile(np.array([r[["few", "near", "many"].index(c)] for r in rows]), PROBS)
+            assert [got[(c, p)] for p in PROBS] == pytest.approx(list(want), rel=1e-15)
+
+
+def test_quantiles_of_values_too_near_for_slices(spark):
+    low = 1.0
+    values = [low + k * 2.0 ** -52 for k in range(6)] * 3 + [1.0005] * 2 + [7.0]
+    got = {r["prob"]: r["value"] for r in exact_quantiles(spark.createDataFrame([(v,) for v in values], "x double"), ["x"], PROBS).collect()}
+    assert [got[p] for p in PROBS] == pytest.approx(list(np.quantile(np.array(values), PROBS)), rel=1e-15)
+
+
 def skewed(spark, n=3000):
     return spark.range(n).select(F.col("id"), F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), (F.col("id") % 700).cast("string"))).alias("k"))
 
