@@ -237,3 +237,26 @@ def test_lookup_join_refuses_joins_that_keep_right_rows(spark):
     one = spark.range(3)
     with pytest.raises(ValueError):
         lookup_join(one, one, ["id"], "full_outer")
+
+
+def test_clean_and_transform_computes_its_rows_once(spark, monkeypatch):
+    from propspark.plans import catalogue, queries_clean
+
+    schema = """rid string, zoning string, occupancy double, year_built int, row_pos bigint, source_file string, parcel_id string,
+        property_name string, property_type string, building_sqft double, lot_size_acres double, address string, city string,
+        state string, county string, owner_name string, sale_date timestamp, sold_price double"""
+    own = [(f"r{i // 2 if i < 8 else i}", [None, "IL", " IG ", "IL"][i % 4], None if i % 7 == 3 else 60.0 + i % 5, None if i == 11 else 1960 + i % 9, i, f"file_{i % 3}")
+           for i in range(40)] + [(None, "IL", 1.0, 1990, 99, "file_0"), ("r9", "IP", 9000.0, 1990, 98, None)]
+    frame = spark.createDataFrame([r + (None,) * 12 for r in own], schema)
+    calls = []
+    monkeypatch.setattr(queries_clean, "props", lambda spark, d: calls.append(d) or frame)
+    got = catalogue.QUERIES["cln16_clean_and_transform"](spark, "")
+    assert len(calls) == 1
+    # The rows are those of the table joined with itself by id.
+    joined = frame.select("rid", F.col("rid").alias("Row Tie"), F.col("zoning").alias("Zoning Code"), F.col("occupancy").alias("Occupancy"),
+                          F.col("year_built").alias("Year Built")).join(
+        frame.select("rid", F.col("row_pos").alias("Row Pos"), F.col("source_file").alias("Source File")), "rid")
+    want = clean.clean_and_transform(joined, 2001, "row_pos", ["source_file"], ["rid"]).select(
+        "rid", "zoning_code", F.round("occupancy", 6), F.round("building_age", 6))
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert rows(got) == rows(want) and got.count() > 40
