@@ -174,3 +174,37 @@ def test_the_report_computes_component_stats_once(spark, sf, monkeypatch):
     monkeypatch.setattr(pipelines.agg, "component_stats", lambda df: calls.append(real(df).where("column <> 'tagged'")) or calls[-1])
     text = plan(catalogue.QUERIES["run6_full_report_all_sections"](spark, sf))
     assert 0 < text.count("tagged") == plan(calls[0]).count("tagged")
+
+
+def test_borders_beyond_the_driver_are_stored_and_read_instead_of_all_rows(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = rng.uniform(0, 1, (3000, 2))
+    x[::50] = np.round(x[::50], 1)  # some rows lie as far from one centre as from another
+    points = spark.createDataFrame(x.tolist(), "a double, b double").repartition(3)
+    starts = np.stack([x[rng.choice(len(x), 4, replace=False)] for _ in range(3)])
+    for name, value in (("PLAIN", 3), ("BORDER_ROWS", 40), ("JOB", 0.0)):
+        monkeypatch.setattr(ml, name, value)
+    rows, real = [], ml._stored_pass
+    monkeypatch.setattr(ml, "_stored_pass", lambda borders, centres: rows.append(max(b.table.count() for b in borders.values())) or real(borders, centres))
+    centres, _, reads = ml.lloyd(points, starts)
+    slowest = 0
+    for s in range(3):
+        c, steps = starts[s].copy(), 0
+        while True:
+            own = ((x[:, None] - c) ** 2).sum(axis=2).argmin(axis=1)
+            after = np.array([x[own == k].mean(axis=0) if (own == k).any() else c[k] for k in range(4)])
+            steps, moved, c = steps + 1, np.sqrt(((after - c) ** 2).sum(axis=1)).max(), after
+            if moved <= 1e-4 or steps == 300:
+                break
+        slowest = max(slowest, steps)
+        assert np.allclose(centres[s], c, atol=1e-12)
+    assert rows and reads < 0.7 * slowest  # before: as many as steps
+
+
+def test_rows_as_far_from_two_centres_go_to_the_first():
+    x = np.array([[0.0, 1.0], [0.0, -3.0], [2.0, 1.0], [1.0, 7.0], [1.0 + 1e-9, 7.0]])
+    centres = np.array([[[0.0, 0.0], [2.0, 0.0], [2.0, 0.0]], [[5.0, 5.0], [5.0, 5.0], [5.0, 5.0]]])
+    tile = next(ml._tiles(x, 3))
+    own = ml._owned(tile, centres)[0]
+    assert own.argmax(axis=1).tolist() == [[0, 0, 1, 0, 1], [0] * 5] and (own.sum(axis=1) == 1).all()
+    assert ml._own_sums(x, centres)[0, 1].tolist() == [3.0 + 1e-9, 8.0, 2.0]
