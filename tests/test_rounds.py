@@ -208,3 +208,16 @@ def test_rows_as_far_from_two_centres_go_to_the_first():
     own = ml._owned(tile, centres)[0]
     assert own.argmax(axis=1).tolist() == [[0, 0, 1, 0, 1], [0] * 5] and (own.sum(axis=1) == 1).all()
     assert ml._own_sums(x, centres)[0, 1].tolist() == [3.0 + 1e-9, 8.0, 2.0]
+
+
+def test_the_filter_chain_reads_what_a_step_has_stored(spark, monkeypatch):
+    rows = [(f"r{i}", float(i % 2) * 1000 + i % 7, float(i % 2) * 5 + i % 3) for i in range(300)]
+    df = spark.createDataFrame(rows, "rid string, building_sqft double, lot_size_acres double")
+    written, real = [], ml.stored
+    monkeypatch.setattr(ml, "stored", lambda df, **how: written.append(df.columns) or real(df, **how))
+    out, summary = ml.apply_ml(df, ["rid"], contamination=0.1, clusters=2, reference={"building_sqft": 1000.0}, low=0.0, n_init=2)
+    assert len(written) == 4  # before: the features of the segments and of the similarity once more
+    scores = [r["similarity_score"] for r in out.collect()]
+    found = {r["metric"]: r["value"] for r in summary.collect()}
+    assert scores == sorted(scores, reverse=True) and found["similar_properties"] == len(scores) > 0
+    assert np.isclose(found["avg_similarity"], np.mean(scores))
