@@ -221,3 +221,17 @@ def test_the_filter_chain_reads_what_a_step_has_stored(spark, monkeypatch):
     found = {r["metric"]: r["value"] for r in summary.collect()}
     assert scores == sorted(scores, reverse=True) and found["similar_properties"] == len(scores) > 0
     assert np.isclose(found["avg_similarity"], np.mean(scores))
+
+
+def test_the_roll_is_moved_slim_and_joined_where_it_lies(spark, monkeypatch):
+    props = spark.createDataFrame([("a", "12"), ("b", "1-2"), ("c", "3"), ("d", None), ("e", "0"), ("f", "4.5")], "rid string, parcel_id string")
+    roll = spark.createDataFrame([("12", None, 2, "x"), ("12", None, 1, "y"), ("1-2", None, 3, "z"), (None, "00000000000000003", 4, "u"), ("9", "4/5", 5, "v"),
+                                  ("45", None, 6, "w")], "PARID string, PCN string, no int, JV string")
+    monkeypatch.setattr(enrich.F, "xxhash64", lambda c: F.hash(c).cast("long") % 1)  # every key has the same hash
+    out = enrich.cama_join(props, roll, ["no"], min_rows=100)
+    got = {r["rid"]: (r["no"], r["JV"], r["status"], r["data_quality"]) for r in out.collect()}
+    none = (None, None, "NOT_FOUND_IN_CAMA", "FAILED")
+    assert got == {"a": (1, "y", None, "COMPLETE"), "b": (3, "z", None, "COMPLETE"), "c": (4, "u", None, "COMPLETE"), "d": none, "e": none, "f": (6, "w", None, "COMPLETE")}
+    text = plan(enrich.cama_join(props, roll, ["no"], keep=["no"], min_rows=100))
+    moved = [line for line in text.splitlines() if "Exchange hashpartitioning" in line and "RoundRobin" not in line]
+    assert "__salt" not in text and "__key" not in "".join(moved)  # before: a third exchange of the roll for the salts
